@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import mixing
+from galenic.llm import mixing, quality, toxicity
 from galenic.llm.common import load
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
 }
 
