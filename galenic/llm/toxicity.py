@@ -90,7 +90,7 @@ def fit(
     epochs: int = 4,
     alpha: float = 0.3,
     beta: float = 1.0,
-    l1: float = 0.5,
+    l1: float = 2.0,
     l2: float = 0.1,
 ) -> Model:
     """Weights from at most ``per_class`` labelled rows of each class, trained in one task."""
