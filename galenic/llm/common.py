@@ -2,16 +2,17 @@
 
 * ``staged``      cuts lineage with a table written under ``spark.checkpoint.dir``.
 * ``components``  connected components of an edge table, distributed.
-* ``in_blocks``   deals the members of (possibly hot) groups out to pairs of
-  bounded blocks, so that no task ever holds a whole group.
+* ``blocked`` and ``paired`` deal the members of (possibly hot) groups out to
+  pairs of bounded blocks, so that no task ever holds a whole group.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,27 +62,6 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 # -- connected components ----------------------------------------------------
 
 
-def forest(a: Iterable[int], b: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its part) that connect what a-b connects."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while up.setdefault(root, root) != root:
-            root = up[root]
-        while up[x] != root:
-            up[x], x = root, up[x]
-        return root
-
-    for x, y in zip(a, b, strict=True):
-        x, y = find(int(x)), find(int(y))
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    found = [(x, find(x)) for x in up]
-    kept = [(x, r) for x, r in found if x != r]
-    return np.array([x for x, _ in kept], dtype="int64"), np.array([r for _, r in kept], dtype="int64")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst long): component
     is the smallest node reachable.
@@ -115,19 +95,65 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # -- bounded blocks of hot groups ----------------------------------------------
 
 
-def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """Deal ``members`` out to block pairs: adds lo, hi (the pair) and side.
+def blocked(members: DataFrame, group: str, member: str, rows: int, weight: str | None = None, most: int = 0) -> DataFrame:
+    """``members`` of groups of two or more, with _mine (a block) and _blocks (how many the group has).
 
-    A group of n members gets ceil(n / size) blocks; a member's block is a
-    hash of its id.  Each pair of members meets in the pair of their blocks
-    (lo = hi within a block).  Groups of up to ``size`` members are one block
-    and are not copied.  ``members`` must be a written table: it is read twice.
+    A group gets a block for each ``rows`` members, and for each ``most`` of
+    summed ``weight`` if that is more; a member's block is a hash of its id.
+    ``members`` should be a written table: it is read twice.
     """
-    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    counts = counts.select(F.col(group).alias("_g"), F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
-    dealt = members.join(counts, members[group] == counts["_g"]).drop("_g")
-    mine = F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks").cast("long")).cast("int")
-    dealt = dealt.withColumn("_mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = dealt.withColumn("_other", other)
-    return dealt.select(*members.columns, "_mine", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"))
+    n = F.ceil(F.count(F.lit(1)) / rows)
+    if weight:
+        n = F.greatest(n, F.ceil(F.sum(weight) / most))
+    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), n.cast("int").alias("_blocks")).where("_n > 1")
+    counts = staged(counts.select(F.col(group).alias("_g"), "_blocks"), "blocks")
+    found = members.join(counts, members[group] == counts["_g"]).drop("_g")
+    return found.withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks").cast("long")).cast("int"))
+
+
+def paired(dealt: DataFrame) -> DataFrame:
+    """Each row of ``blocked`` once for every block pair (lo, hi) it belongs to:
+    two members of a group meet in the pair of their blocks (lo = hi within one).
+    Groups of one block are not copied."""
+    out = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    out = out.withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
+    return out.drop("_other", "_blocks")
+
+
+def together(pairs: DataFrame, group: str) -> DataFrame:
+    """The rows of a block pair in one task, next to each other."""
+    return pairs.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal ``keys`` in sorted batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (member, smallest member of its part) of a symmetric boolean matrix."""
+    n = len(links)
+    label = np.arange(n)
+    links = links | np.eye(n, dtype=bool)
+    while True:
+        low = np.where(links, label[None, :], n).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            return [(i, int(r)) for i, r in enumerate(label) if i != r]
+        label = low

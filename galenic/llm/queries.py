@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import mixing, quality, toxicity
+from galenic.llm import minhash, mixing, quality, toxicity
 from galenic.llm.common import load
 
 
@@ -20,12 +20,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic(load(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
+    "op9_minhash": minhash.SQL,
 }
