@@ -251,11 +251,11 @@ shingles AS MATERIALIZED (
   FROM words, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 linked AS MATERIALIZED (
   SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-  WHERE 100 * both >= 85 * (p.n + q.n - both)),
+  WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
 reached(x, y) AS (
   SELECT x, y FROM linked UNION SELECT r.x, l.y FROM reached r JOIN linked l ON l.x = r.y),
 low AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
