@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import minhash, mixing, quality, toxicity
+from galenic.llm import bpe, minhash, mixing, quality, toxicity
 from galenic.llm.common import load
 
 
@@ -24,11 +25,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
