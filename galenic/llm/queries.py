@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import bpe, minhash, mixing, quality, toxicity
+from galenic.llm import bpe, minhash, mixing, pii, quality, toxicity
 from galenic.llm.common import load
 
 
@@ -17,6 +17,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(load(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic(load(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
