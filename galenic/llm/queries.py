@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import bpe, minhash, mixing, pii, quality, toxicity
+from galenic.llm import bpe, minhash, mixing, pii, quality, sharding, toxicity
 from galenic.llm.common import load
 
 
@@ -13,6 +13,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(load(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
@@ -43,6 +48,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op9_minhash": minhash.SQL,
 }
