@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import bpe, minhash, mixing, pii, quality, sharding, toxicity
+from galenic.llm import bpe, minhash, mixing, pii, quality, sharding, syncmers, toxicity
 from galenic.llm.common import load
 
 
@@ -13,6 +13,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(load(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_syncmers": op4_syncmers,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
