@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words: blank, and tab to carriage return.
@@ -157,3 +157,26 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
         if (low == label).all():
             return [(i, int(r)) for i, r in enumerate(label) if i != r]
         label = low
+
+
+def named_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """cls, component_id, a written table: ``classes`` (cls, first) joined up by
+    ``edges`` (src, dst of cls); component_id is the smallest ``first`` reachable."""
+    parts = components(edges)
+    joined = classes.select("cls", "first").join(parts, F.col("cls") == F.col("node"), "left")
+    joined = staged(joined.select("cls", "first", F.coalesce("component", "cls").alias("part")), "parts")
+    firsts = staged(joined.groupBy("part").agg(F.min("first").alias("component_id")), "firsts")
+    return staged(joined.join(firsts, "part").select("cls", "component_id"), "named")
+
+
+def ranked(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with rank (long, from 0) in the order of ``keys``, without one task
+    sorting it all: dealt out by range, counted by range, numbered within."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    found = dealt.withColumn("_row", inside).join(counts, F.col("_part") == F.col("_at"))
+    return found.withColumn("rank", F.col("_start") + F.col("_row") - 1).drop("_part", "_at", "_row", "_start")

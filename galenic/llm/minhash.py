@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galenic.llm.common import blocked, components, paired, runs, spanning, staged, together
+from galenic.llm.common import blocked, components, named_components, paired, runs, spanning, staged, together
 
 K = 64
 SLICE = 256
@@ -223,13 +223,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = staged(candidates(staged(postings(classes, t), "postings"), classes, t), "candidates")
     clusters = components(found).withColumnRenamed("component", "cluster")
     members = staged(classes.select("doc_id", "cls", "n_shingles").join(clusters, F.col("cls") == F.col("node")).drop("node"), "clusters")
-    parts = components(links(docs, members, width, percent))
-
-    joined = classes.select("cls", F.col("doc_id").alias("first")).join(parts, F.col("cls") == F.col("node"), "left")
-    joined = joined.select("cls", "first", F.coalesce("component", "cls").alias("part"))
-    firsts = staged(joined.groupBy("part").agg(F.min("first").alias("component_id")), "firsts")
-    named = staged(staged(joined, "parts").join(firsts, "part").select(F.col("cls").alias("key"), "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, F.col("cls") == F.col("key"), "left")
+    named = named_components(classes.select("cls", F.col("doc_id").alias("first")), links(docs, members, width, percent))
+    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

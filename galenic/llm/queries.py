@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from galenic.llm import bpe, minhash, mixing, pii, quality, sharding, syncmers, toxicity
+from galenic.llm import bpe, embeddings, minhash, mixing, pii, quality, sharding, syncmers, toxicity
 from galenic.llm.common import load
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op3_toxicity": op3_toxicity,
     "op4_syncmers": op4_syncmers,
     "op5_sharding": op5_sharding,
@@ -53,6 +58,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embeddings": embeddings.SQL,
     "op5_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op9_minhash": minhash.SQL,
