@@ -146,6 +146,30 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+class Linked:
+    """What a task has linked so far: tells new edges from those that follow
+    from earlier ones. Forgets (and so repeats itself) beyond a bound."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self.up: dict[int, int] = {}
+        self.most = most
+
+    def top(self, x: int) -> int:
+        root = x
+        while self.up.setdefault(root, root) != root:
+            root = self.up[root]
+        while self.up[x] != root:
+            self.up[x], x = root, self.up[x]
+        return root
+
+    def new(self, a: int, b: int) -> bool:
+        if len(self.up) > self.most:
+            self.up.clear()
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def spanning(links: np.ndarray) -> list[tuple[int, int]]:
     """Edges (member, smallest member of its part) of a symmetric boolean matrix."""
     n = len(links)

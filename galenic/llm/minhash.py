@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galenic.llm.common import blocked, components, named_components, paired, runs, spanning, staged, together
+from galenic.llm.common import Linked, blocked, components, named_components, paired, runs, spanning, staged, together
 
 K = 64
 SLICE = 256
 #: Members of a block, in lists of postings and in clusters, and shingles of a block in clusters.
-LIST_ROWS, CLUSTER_ROWS, CLUSTER_SHINGLES = 256, 128, 400_000
+LIST_ROWS, CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 128, 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 
@@ -132,7 +132,7 @@ def candidates(posted: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     dealt = together(paired(blocked(posted, "value", "cls", LIST_ROWS).join(low, "cls")), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst = [], []
+        src, dst, linked = [], [], Linked()
         for group in runs(batches, ["value", "lo", "hi"]):
             if group.num_rows < 2:
                 continue
@@ -146,8 +146,9 @@ def candidates(posted: DataFrame, classes: DataFrame, t: int) -> DataFrame:
             if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
                 links &= mine[:, None] != mine[None, :]
             for i, j in spanning(links):
-                src.append(cls[i])
-                dst.append(cls[j])
+                if linked.new(int(cls[i]), int(cls[j])):
+                    src.append(cls[i])
+                    dst.append(cls[j])
             if len(src) > 5000:
                 yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
                 src, dst = [], []
