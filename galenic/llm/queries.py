@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galenic.llm import bpe, embeddings, minhash, mixing, pii, quality, sharding, syncmers, toxicity
+from galenic.llm import bpe, embeddings, lines, minhash, mixing, pii, quality, sharding, syncmers, toxicity
 from galenic.llm.common import load
 
 
@@ -13,6 +14,11 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.cleaned(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -47,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embeddings": op1_embeddings,
+    "op2_lines": op2_lines,
     "op3_toxicity": op3_toxicity,
     "op4_syncmers": op4_syncmers,
     "op5_sharding": op5_sharding,
@@ -59,6 +66,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_embeddings": embeddings.SQL,
+    "op2_lines": lines.SQL,
     "op5_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op9_minhash": minhash.SQL,
