@@ -8,6 +8,11 @@
 3.  The ids go back to their block, where the texts are put together by
     position.  Decoding looks every id up in the table of token bytes.
 
+Texts are cut twice, once for their words and once for the positions: that
+costs less than a written copy of the positions.  A block is known by a hash of
+its words and ids, so a pass that met other rows fails instead of mixing them
+up; rows in no fixed order should be written first.
+
 Blocks are bounded, so no task holds more than one block of texts and one
 bucket's row of words.  The ranks come from a file named by a parameter, are
 read once by the driver (under a megabyte) and sent along.
@@ -30,12 +35,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galenic.llm.common import staged
-
 #: Pre-tokens of a block, and texts in one packed row of it.
 BLOCK_TOKENS, PART_ROWS = 2_000_000, 128
 SLICE = 256
@@ -107,39 +111,38 @@ class Gather:
         return self.values[step + np.arange(ends[-1])]
 
 
-def _block(number: int, words: Positions, rows: list[tuple], buckets: int) -> pa.RecordBatch:
-    """The packed rows of one block: kind 0 words by bucket, 1 their order, 2 texts."""
+def _block(words: Positions, rows: list[tuple], buckets: int, with_words: bool) -> pa.RecordBatch:
+    """The packed rows of one block: kind 0 words by bucket, or 1 their order and 2 texts."""
     names = [w.encode("utf-8", "replace") for w in words]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), dtype=np.int64, count=len(names))
-    order = np.lexsort([np.arange(len(names)), bucket])
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    number = int(np.uint64(xxhash.xxh64_intdigest(pickle.dumps((names, [r[0] for r in rows])))).view(np.int64))
+    bucket = [zlib.crc32(w) % buckets for w in names]
+    order = np.array(sorted(range(len(names)), key=lambda i: (bucket[i], names[i])), dtype=np.int64)
     out = []
-    for k in range(buckets):
-        mine = order[cuts[k] : cuts[k + 1]]
-        if len(mine):
-            own = [names[i] for i in mine]
-            out.append((0, k, squeeze(pickle.dumps((np.array([len(w) for w in own], dtype="<u4").tobytes(), b"".join(own))))))
-    place = np.empty(len(names), dtype="<u4")
-    place[order] = np.arange(len(names))
-    out.append((1, 0, pickle.dumps(packed(place))))
-    for at in range(0, len(rows), PART_ROWS):
-        part = rows[at : at + PART_ROWS]
-        every = np.concatenate([r[1] for r in part]) if part else np.zeros(0, "<u4")
-        out.append((2, at, pickle.dumps(([r[0] for r in part], [len(r[1]) for r in part], packed(every)))))
+    if with_words:
+        cuts = np.searchsorted(np.array(bucket, dtype=np.int64)[order], np.arange(buckets + 1))
+        squeeze = zstandard.ZstdCompressor(level=6).compress
+        for k in range(buckets):
+            own = [names[i] for i in order[cuts[k] : cuts[k + 1]]]
+            if own:
+                out.append((0, k, squeeze(pickle.dumps((np.array([len(w) for w in own], dtype="<u4").tobytes(), b"".join(own))))))
+    else:
+        place = np.empty(len(names), dtype="<u4")
+        place[order] = np.arange(len(names))
+        out.append((1, 0, pickle.dumps(packed(place))))
+        for at in range(0, len(rows), PART_ROWS):
+            part = rows[at : at + PART_ROWS]
+            out.append((2, at, pickle.dumps(([r[0] for r in part], [len(r[1]) for r in part], packed(np.concatenate([r[1] for r in part]))))))
     return pa.RecordBatch.from_pydict({"block": pa.array([number] * len(out), pa.int64()), "kind": pa.array([o[0] for o in out], pa.int32()), "part": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
 
 
 BLOCK_SCHEMA = "block bigint, kind int, part int, data binary"
 
 
-def blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """The packed rows of all blocks of ``docs`` (doc_id, text)."""
+def blocks(docs: DataFrame, pattern: str, buckets: int, with_words: bool) -> DataFrame:
+    """The packed rows of all blocks of ``docs`` (doc_id, text): their words, or what refers to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        split, number = Splitter(pattern), TaskContext.get().partitionId() << 32
+        split = Splitter(pattern)
         words, rows, total = Positions(), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -149,10 +152,10 @@ def blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                     rows.append((doc_id, np.fromiter(map(words.__getitem__, found), dtype="<u4", count=len(found))))
                     total += len(found) + 1
                     if total >= BLOCK_TOKENS:
-                        yield _block(number, words, rows, buckets)
-                        words, rows, total, number = Positions(), [], 0, number + 1
+                        yield _block(words, rows, buckets, with_words)
+                        words, rows, total = Positions(), [], 0
         if rows:
-            yield _block(number, words, rows, buckets)
+            yield _block(words, rows, buckets, with_words)
 
     return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
 
@@ -187,9 +190,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = staged(blocks(docs, pattern, buckets), "blocks")
-    ids = encoded_words(rows.where("kind = 0").repartition("part"), ranks, pattern)
-    dealt = ids.union(rows.where("kind > 0")).repartition("block").sortWithinPartitions("block", "kind", "part")
+    ids = encoded_words(blocks(docs, pattern, buckets, True).repartition("part"), ranks, pattern)
+    dealt = ids.union(blocks(docs, pattern, buckets, False)).repartition("block").sortWithinPartitions("block", "kind", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, lists, lengths, gather, place = None, [], [], None, None
@@ -207,6 +209,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                     gather = Gather(np.concatenate(lists) if lists else np.zeros(0, "<u4"), np.concatenate(lengths) if lengths else np.zeros(0, "<u4"))
                 else:
                     doc_ids, sizes, planes = data
+                    if place is None or len(place) != len(gather.lengths):
+                        raise RuntimeError("the rows to encode came in another order the second time: write them first")
                     every, ends = place[unpacked(planes)], np.cumsum(sizes)
                     found = [gather(every[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, type=batch_kind), "n_tokens": pa.array([len(f) for f in found], pa.int64()), "ids": pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())})

@@ -50,3 +50,16 @@ def scored(docs: DataFrame, score: Callable[[], Callable[[str], float]], thresho
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def passing(docs: DataFrame, score: Callable[[], Callable[[str], float]], threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = score()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.filter(pa.array([of(text or "") >= threshold for text in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

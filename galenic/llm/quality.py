@@ -139,3 +139,8 @@ def scorer(model: Model) -> Callable[[], Callable[[str], float]]:
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     return labelled.scored(docs, scorer(fit(docs, labels, **options)), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject."""
+    return labelled.passing(docs, scorer(fit(docs, labels, **options)), threshold)
