@@ -31,7 +31,7 @@ def chained(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -
 
 def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -> DataFrame:
     """``df`` with unique_id, exact in every case."""
-    cut = {f"_p{i}": F.lower(empty_as_null(p)) for i, p in enumerate(parts)}
+    cut = {f"part{i}__": F.lower(empty_as_null(p)) for i, p in enumerate(parts)}
     quick = chained(df, base, parts, order).drop("n")
     bad = quick.where("unique_id is null").limit(1).union(quick.groupBy("unique_id").count().where("count > 1").limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in quick.schema]))
     if bad.isEmpty():
