@@ -1,4 +1,5 @@
 """Name -> query and name -> SQL of the catalogue's operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from galenic.plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
