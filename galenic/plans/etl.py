@@ -107,7 +107,7 @@ def build(
         F.lit(None).cast("string").alias("class"),
         arrays.listed(F.col("trialbench_nct_ids")).alias("clinical_trials"),
         F.get("_regions", F.lit(0)).alias("body_region"),
-        F.slice("_regions", 2, F.lit(2147483647)).alias("secondary_body_regions"),
+        F.slice("_regions", F.lit(2), F.size("_regions")).alias("secondary_body_regions"),
         text.empty_as_null(text.strip(F.col("kegg_drug_id"))).alias("kegg_id"),
         "atc_codes",
     )
