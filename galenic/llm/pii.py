@@ -78,10 +78,16 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), add) % 10 == 0
 
 
+def octet(part: Column) -> Column:
+    """Digits, zeros in front or not, that make at most 255."""
+    value = F.ltrim(part, F.lit("0"))
+    return F.when(F.length(value) > 3, F.lit(False)).otherwise(F.coalesce(value.try_cast("int"), F.lit(0)) <= 255)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     return {
         "email": spans(text, EMAIL),
-        "ip": F.filter(spans(text, IP), lambda s: F.forall(F.split(s["text"], "\\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) < 4) & (F.coalesce(F.try_to_number(F.right(p, F.lit(3)), F.lit("999")), F.lit(0)) <= 255))),
+        "ip": F.filter(spans(text, IP), lambda s: F.forall(F.split(s["text"], "\\."), octet)),
         "card": F.filter(spans(text, CARD), lambda s: luhn(digits(s["text"]))),
         "phone": F.filter(spans(text, PHONE), lambda s: F.length(digits(s["text"])).between(8, 15)),
     }
