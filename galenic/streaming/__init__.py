@@ -1 +1 @@
-
+"""Arriving compound tables, file by file."""
