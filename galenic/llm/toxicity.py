@@ -88,9 +88,9 @@ def fit(
     label: str = "toxic",
     per_class: int = 4000,
     epochs: int = 4,
-    alpha: float = 0.3,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 2.0,
+    l1: float = 4.0,
     l2: float = 0.1,
 ) -> Model:
     """Weights from at most ``per_class`` labelled rows of each class, trained in one task."""
