@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galenic.llm.common import SPACE, staged
+from galenic.llm.common import staged
 
 EDITS = 1
 #: Bits of a bitmap: its 64-bit words are a broadcast of 65,536 rows at most.
@@ -54,10 +54,14 @@ def among(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     return found.where(F.expr(f"(shiftright(_bits, cast(pmod({key}, 64) as int)) & 1L) = 1L")).drop("_at", "_word", "_bits", "_bit")
 
 
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, at, line (trimmed), h1, h2, size of every line long enough."""
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    each = each.withColumn("line", F.regexp_replace("line", f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    each = each.withColumn("line", trimmed(F.col("line")))
     each = each.withColumn("size", F.length("line")).where(F.col("size") >= min_chars)
     return each.select("doc_id", "at", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -140,9 +144,8 @@ def meeting(found: DataFrame, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def repeated(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """h1, h2 of the lines that stand within an edit of an earlier other line."""
-    each = lines_of(docs, min_chars)
+def repeated(each: DataFrame) -> DataFrame:
+    """h1, h2 of the lines (of ``lines_of``, written) that stand within an edit of an earlier other line."""
     rows = posted(each)
     shared = staged(rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select(F.col("key").alias("_key")), "shared")
     found = among(rows, "key", bitmap(shared, "_key")).distinct().join(shared, F.col("key") == F.col("_key"), "left_semi")
@@ -159,14 +162,14 @@ def repeated(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 def cleaned(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """The rows of ``docs`` with the lines that stay; n_lines and n_dropped besides."""
-    dropped = staged(repeated(docs, min_chars), "dropped")
-    firsts = lines_of(docs, min_chars).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    lines = staged(lines_of(docs, min_chars), "lines")
+    dropped = staged(repeated(lines), "dropped")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     stay = firsts.join(dropped, ["h1", "h2"], "left_anti").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list("first.at").alias("_stay"))
     out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left")
     each = F.split("text", "\n")
     stays = F.coalesce("_stay", F.expr("cast(array() as array<int>)"))
-    short = lambda line: F.length(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "")) < min_chars
-    kept = F.filter(each, lambda line, i: short(line) | F.array_contains(stays, i))
+    kept = F.filter(each, lambda line, i: F.array_contains(stays, i) | (F.length(trimmed(line)) < min_chars))
     out = out.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(each), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
     out = out.withColumn("text", F.array_join("_kept", "\n"))
