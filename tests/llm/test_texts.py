@@ -248,3 +248,15 @@ def test_packed_numbers():
     assert (bpe.unpacked(bpe.packed(values)) == values).all()
     assert len(bpe.unpacked(bpe.packed(np.zeros(0, "<u4")))) == 0
     assert bpe.Gather(np.arange(10), np.array([2, 0, 3, 5]))(np.array([2, 0, 1, 3])).tolist() == [2, 3, 4, 0, 1, 5, 6, 7, 8, 9]
+
+
+def test_logistic_of_separable_points():
+    """Classes that separate cleanly keep moderate weights and lie on their own sides."""
+    rng = np.random.default_rng(3)
+    for n in (40, 4000):
+        y = (np.arange(n) % 3 > 0).astype(int)
+        x = np.column_stack([y * 0.2 - 0.1 + rng.normal(size=n) * 1e-3, rng.normal(size=n), np.full(n, 2.0)])
+        w = np.array(quality.logistic(x, y))
+        p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+        assert np.isfinite(w).all() and ((p > 0.5) == (y == 1)).all()
+    assert len(quality.logistic(np.zeros((0, 4)), np.zeros(0))) == 5
