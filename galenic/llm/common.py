@@ -75,29 +75,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst long): component
     is the smallest node reachable.
 
-    Alternates neighbour minima with pointer jumping.  All sums are partial
-    aggregates and all joins are plain shuffles of two written tables, so a
-    node with very many edges is split by adaptive execution.  Each round ends
-    in a written table.  Stops when no label changes.
+    Each round every node points to its smallest neighbour, pointers are
+    followed twice, and the edges are contracted along them: ends are replaced,
+    loops and repeats go.  Edges shrink by a factor each round, so the work is
+    that of the first few.  Sums are partial aggregates and joins are plain
+    shuffles of two written tables, so a node with very many edges is split by
+    adaptive execution.  Each round ends in written tables.
     """
     both = edges.select("src", "dst").where("src <> dst")
-    both = staged(both.union(both.select("dst", "src")).groupBy("src", "dst").agg(F.lit(1).alias("one")).select("src", "dst"), "edges")
-    labels = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component"))
-    labels = staged(labels, "labels")
+    left = staged(both.union(both.select("dst", "src")).distinct(), "edges")
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     for _ in range(rounds):
-        told = both.join(labels, both["src"] == labels["node"]).select(both["dst"].alias("node"), "component")
-        # the label's own label: paths halve in length each round
-        far = labels.select(F.col("node").alias("at"), F.col("component").alias("via"))
-        top = labels.select(F.col("node").alias("key"), F.col("component").alias("root"))
-        jump = far.join(top, far["via"] == top["key"]).select(F.col("at").alias("node"), F.col("root").alias("component"))
-        # a node also tells its label: roots learn of smaller ones
-        back = told.join(labels.select(F.col("node").alias("key"), F.col("component").alias("mine")), F.col("node") == F.col("key")).where("component < mine").select(F.col("mine").alias("node"), "component")
-        new = labels.union(told).union(jump).union(back).groupBy("node").agg(F.min("component").alias("component"))
-        new = staged(new, "labels")
-        changed = new.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        if left.isEmpty():
+            return found
+        up = left.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("parent"))
+        for _ in range(2):
+            up = staged(up, "pointers")
+            above = up.select(F.col("node").alias("key"), F.col("parent").alias("top"))
+            up = up.join(above, F.col("parent") == F.col("key")).select("node", F.col("top").alias("parent"))
+        up = staged(up, "pointers")
+        found = found.join(up, found["component"] == up["node"], "left").select(found["node"], F.coalesce("parent", "component").alias("component"))
+        found = staged(found, "labels")
+        one = left.join(up, F.col("src") == F.col("node")).select(F.col("parent").alias("a"), "dst")
+        two = one.join(up, F.col("dst") == F.col("node")).select(F.col("a").alias("src"), F.col("parent").alias("dst"))
+        left = staged(two.where("src <> dst").distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
