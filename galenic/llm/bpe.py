@@ -10,8 +10,9 @@
 
 Texts are cut twice, once for their words and once for the positions: that
 costs less than a written copy of the positions.  A block is known by a hash of
-its words and ids, so a pass that met other rows fails instead of mixing them
-up; rows in no fixed order should be written first.
+its place (partition, and number within it), its words and its ids, so blocks of
+equal content stay apart, and a pass that met other rows fails instead of mixing
+them up; rows in no fixed order should be written first.
 
 Blocks are bounded, so no task holds more than one block of texts and one
 bucket's row of words.  The ranks come from a file named by a parameter, are
@@ -111,10 +112,10 @@ class Gather:
         return self.values[step + np.arange(ends[-1])]
 
 
-def _block(words: Positions, rows: list[tuple], buckets: int, with_words: bool) -> pa.RecordBatch:
+def _block(place: tuple[int, int], words: Positions, rows: list[tuple], buckets: int, with_words: bool) -> pa.RecordBatch:
     """The packed rows of one block: kind 0 words by bucket, or 1 their order and 2 texts."""
     names = [w.encode("utf-8", "replace") for w in words]
-    number = int(np.uint64(xxhash.xxh64_intdigest(pickle.dumps((names, [r[0] for r in rows])))).view(np.int64))
+    number = int(np.uint64(xxhash.xxh64_intdigest(pickle.dumps((place, names, [r[0] for r in rows])))).view(np.int64))
     bucket = [zlib.crc32(w) % buckets for w in names]
     order = np.array(sorted(range(len(names)), key=lambda i: (bucket[i], names[i])), dtype=np.int64)
     out = []
@@ -126,9 +127,9 @@ def _block(words: Positions, rows: list[tuple], buckets: int, with_words: bool)
             if own:
                 out.append((0, k, squeeze(pickle.dumps((np.array([len(w) for w in own], dtype="<u4").tobytes(), b"".join(own))))))
     else:
-        place = np.empty(len(names), dtype="<u4")
-        place[order] = np.arange(len(names))
-        out.append((1, 0, pickle.dumps(packed(place))))
+        ranks = np.empty(len(names), dtype="<u4")
+        ranks[order] = np.arange(len(names))
+        out.append((1, 0, pickle.dumps(packed(ranks))))
         for at in range(0, len(rows), PART_ROWS):
             part = rows[at : at + PART_ROWS]
             out.append((2, at, pickle.dumps(([r[0] for r in part], [len(r[1]) for r in part], packed(np.concatenate([r[1] for r in part]))))))
@@ -143,21 +144,23 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, with_words: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
-        words, rows, total = Positions(), [], 0
+        words, rows, total, partition, done = Positions(), [], 0, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
+                partition = part.column("_partition")[0].as_py()
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     found = split(text or "")
                     rows.append((doc_id, np.fromiter(map(words.__getitem__, found), dtype="<u4", count=len(found))))
                     total += len(found) + 1
                     if total >= BLOCK_TOKENS:
-                        yield _block(words, rows, buckets, with_words)
-                        words, rows, total = Positions(), [], 0
+                        yield _block((partition, done), words, rows, buckets, with_words)
+                        words, rows, total, done = Positions(), [], 0, done + 1
         if rows:
-            yield _block(words, rows, buckets, with_words)
+            yield _block((partition, done), words, rows, buckets, with_words)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
+    # the number within ``docs``, the same in both passes; that of the task counts what a union puts before it
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("_partition")).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def encoded_words(words: DataFrame, ranks: bytes, pattern: str) -> DataFrame:

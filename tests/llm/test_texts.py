@@ -228,6 +228,17 @@ def test_bpe(docs, monkeypatch):
     assert bpe.digests(docs([]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_equal_blocks(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 50)
+    one = docs(["w " * 80, "w " * 80, "other text"], ids=[1, 1, 2]).coalesce(1)
+    encode = reference_encoding().encode_ordinary
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for df, times in ((one, 1), (one.union(one), 2)):
+        got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.digests(df, path, public_tokenizers.PATTERN).collect())
+        ids = [(i, encode(t)) for i, t in ((1, "w " * 80), (1, "w " * 80), (2, "other text"))]
+        assert got == sorted((i, len(x), hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest()) for i, x in ids * times)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_splitter(text):
