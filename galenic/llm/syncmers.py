@@ -1,15 +1,21 @@
 """Document fingerprints from closed syncmers. DataFrame functions only.
 
-A text is a sequence of words.  A run of ``RUN`` words is an anchor if the
-smallest of its words' hashes is that of its first or its last word.  Whether a
-run is an anchor depends on nothing around it, so an edit changes only the
-anchors it touches, and anchors of two texts match by hash and position.  A
-fingerprint keeps the ``KEPT`` smallest anchor hashes; likeness estimates the
-Jaccard similarity of two texts' anchors from their fingerprints.
+A text is a sequence of code points, white space counting as blanks.  A run of
+k of them is an anchor if the smallest hash of its inner runs of s is that of
+the first or the last.  Whether a run is an anchor depends on nothing around
+it, so an edit changes only the anchors it touches.  Every stretch of 2k - s - 1
+code points holds an anchor.  k and s go with the length of a text (``LEVELS``);
+two texts are compared at the level of the shorter one.
+
+A fingerprint keeps all anchors, hash and place.  Anchors of two texts match by
+hash and by order of place: the first place of a hash with the first, the second
+with the second, and so on.  likeness is the share of the anchors of both that match.
+
+``anchors`` and ``shared_places`` do the same over words.
 
 Edge cases: null counts as empty; a text without words has the empty
-fingerprint, and two empty fingerprints have likeness 1; a text without an
-anchor (fewer words than a run, say) has its whole word sequence as one; rows
+fingerprint, and two empty fingerprints have likeness 1; a text of one code
+point has that as its anchor; rows
 that repeat a doc_id are fingerprinted row by row, and their next document is
 that of the next other doc_id (the smallest text, if there are several); a row
 without a doc_id has no next document; an empty table gives an empty result;
@@ -23,7 +29,10 @@ from pyspark.sql import functions as F
 
 from galenic.llm.common import SPACE, staged
 
-RUN, KEPT = 5, 64
+#: Words of a run of ``anchors``.
+RUN = 5
+#: Code points of a text from which on a level holds, and of its runs and inner runs.
+LEVELS = ((256, 24, 12), (16, 10, 4), (0, 2, 1))
 
 
 def word_array(text: Column) -> Column:
@@ -55,21 +64,66 @@ def anchors(text: Column) -> Column:
     return bound(F.transform(word_array(text), lambda w: F.xxhash64(w)), closed)
 
 
-def sketch(text: Column) -> Column:
-    """array<bigint>: the smallest anchor hashes of a text, sorted."""
-    return F.slice(F.sort_array(F.array_distinct(bound(anchors(text), lambda a: a["hash"]))), 1, KEPT)
+def level(*lengths: Column) -> Column:
+    """The number in ``LEVELS`` at which texts of these lengths are compared."""
+    n = F.least(*lengths) if len(lengths) > 1 else lengths[0]
+    return F.when(n >= LEVELS[0][0], 0).when(n >= LEVELS[1][0], 1).otherwise(2)
+
+
+def _runs(h: Column, k: int, s: int) -> Column:
+    """array<bigint>: the anchors, runs of k of the code points with hashes h; hash in the upper, place in the lower half."""
+
+    def joined(values: Column, n: int, step: int = 1) -> Column:
+        return F.transform(values, lambda x, i: F.xxhash64(x, *(F.get(values, i + j) for j in range(step, n, step))))
+
+    def found(g: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(h) - k)
+        parts = sorted({*range(0, k - s, s), k - s})
+        edges = lambda i: F.least(F.get(g, i), F.get(g, i + (k - s))) <= F.least(*(F.get(g, i + j) for j in range(1, k - s)))
+        at = F.filter(every, edges) if k - s > 2 else every
+        return F.transform(at, lambda i: F.shiftleft(_hash(*(F.get(g, i + j) for j in parts)), 32).bitwiseOR(i.cast("long")))
+
+    inner = h if s == 1 else joined(h, s) if s <= 4 else bound(joined(h, 4), lambda four: joined(four, s, 4))
+    one = F.transform(h, lambda x, i: F.shiftleft(_hash(x), 32))
+    return F.when(F.size(h) >= k, bound(inner, found)).otherwise(one)
+
+
+def places(text: Column, at: Column) -> Column:
+    """array<bigint>: all anchors of a text at level ``at``, in the order of their places."""
+    points = F.transform(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), ""), lambda c: F.xxhash64(c))
+    first, second, third = ((k, s) for _, k, s in LEVELS)
+    found = bound(points, lambda h: F.when(at == 0, _runs(h, *first)).when(at == 1, _runs(h, *second)).otherwise(_runs(h, *third)))
+    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.expr("cast(array() as array<bigint>)")).otherwise(found)
 
 
 def fingerprint(found: Column) -> Column:
-    """A sketch as text: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    """Anchors as text: eight hexadecimal digits of the hash and then the place of each, with commas between."""
+    return F.array_join(F.transform(found, lambda p: F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(p, 32))), 8, "0"), F.lower(F.hex(p.bitwiseAND(F.lit(0xFFFFFFFF)))))), ",")
+
+
+def counted(found: Column) -> Column:
+    """array<bigint>: for each anchor a number made of its hash and how many places of the hash come before."""
+
+    def numbered(p: Column) -> Column:
+        def head(i: Column) -> Column:
+            return (i == 0) | (F.shiftright(F.get(p, i), 32) != F.shiftright(F.get(p, i - 1), 32))
+
+        def each(starts: Column) -> Column:
+            def group(start: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(starts, j + 1), F.size(p)) - start
+                return F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64(F.shiftright(F.get(p, start), 32), o))
+
+            return F.flatten(F.transform(starts, group))
+
+        return F.when(F.size(p) == 0, p).otherwise(bound(F.filter(F.sequence(F.lit(0), F.size(p) - 1), head), each))
+
+    return bound(F.sort_array(found), numbered)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of the smallest hashes of both sketches that both hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    """0 to 1: of the anchors of both, the share that matches."""
+    both = F.size(F.array_intersect(counted(a), counted(b)))
+    return bound(both, lambda n: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def shared_places(a: Column, b: Column) -> Column:
@@ -101,22 +155,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
-    told = known.withColumn("own", sketch(F.col("text")))
-    asked = staged(next_ids(known).select(F.col("doc_id").alias("asker"), F.expr("n div 2").cast("int").alias("half"), "next_id"), "next")
-    heads = told.join(asked, told["doc_id"] == asked["next_id"]).select("asker", F.struct(F.left("text", F.col("half")).alias("head"), F.col("own").alias("other")).alias("next"))
-    heads = heads.groupBy("asker").agg(F.min("next").alias("next"))
-    found = told.join(heads, told["doc_id"] == heads["asker"]).select("doc_id", "text", "own", "next.head", "next.other")
-    lost = rows.where("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("own"), F.lit("").alias("head"), F.expr("cast(null as array<bigint>)").alias("other"))
-    found = found.union(lost)
+    asked = staged(next_ids(known).select(F.col("doc_id").alias("asker"), "next_id"), "next")
+    after = known.join(asked, known["doc_id"] == asked["next_id"]).groupBy("asker").agg(F.min("text").alias("next"))
+    found = known.join(after, known["doc_id"] == after["asker"]).select("doc_id", "text", "next")
+    found = found.union(rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("next")))
     n, half = F.length("text"), F.expr("cast(length(text) div 2 as int)")
-    found = found.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - half), F.left("head", half)).alias("edited"), "own", "other")
-    found = found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", sketch(F.col("edited")).alias("new"))
+    found = found.withColumn("edited", F.concat(F.left("text", n - half), F.left(F.coalesce("next", F.lit("")), half)))
+    scale = {name: level(*(F.length(c) for c in name.split("+"))) for name in ("text", "edited", "text+edited", "text+next")}
+    found = found.withColumn("own", places(F.col("text"), scale["text"])).withColumn("new", places(F.col("edited"), scale["edited"]))
+
+    def at(column: str, name: str, pair: str) -> Column:
+        return F.when(scale[name] == scale[pair], F.col(column)).otherwise(places(F.col(name), scale[pair]))
+
     return found.select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("other")), F.lit(0.0)).alias("near_next"),
+        bound(at("own", "text", "text+edited"), lambda a: bound(at("new", "edited", "text+edited"), lambda b: likeness(a, b))).alias("near_edited"),
+        F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(bound(at("own", "text", "text+next"), lambda a: bound(places(F.col("next"), scale["text+next"]), lambda b: likeness(a, b)))).alias("near_next"),
     )

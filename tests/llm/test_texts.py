@@ -105,6 +105,27 @@ def test_fingerprints_of_few(docs):
     assert len(again) == 3
 
 
+def test_fingerprints_of_all_anchors(docs):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
+    texts = [long, long[:9000] + "#" + long[9000:], "one small note", "one small nose", "漢字" * 200 + "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(600))]
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(docs(texts)).collect()}
+    marks = [(x[:8], int(x[8:], 16)) for x in rows[0]["fingerprint"].split(",")]
+    assert len(marks) > len(long) / 20 and all(b[1] - a[1] <= 16 for a, b in zip(marks, marks[1:], strict=False)) and marks[-1][1] > len(long) - 40
+    shifted = [(x[:8], int(x[8:], 16)) for x in rows[1]["fingerprint"].split(",")]
+    assert [m for m in marks if m[1] >= 9000] == [(h, at - 1) for h, at in shifted if at > 9000]
+    assert 0.98 < rows[1]["near_next"] < 1  # one code point more, far behind the smallest hashes
+    assert 0 < rows[3]["near_next"] < 1 and 0 < rows[2]["near_edited"] < 1  # short texts
+    assert 0.2 < rows[4]["near_edited"] < 0.8  # a script without blanks
+
+
+def test_likeness_counts_places(spark):
+    df = spark.createDataFrame([("abcdefgh" * 40, "abcdefgh" * 80)], "a string, b string")
+    a, b = (syncmers.places(F.col(c), F.lit(0)) for c in "ab")
+    row = df.select(syncmers.likeness(a, b).alias("ab"), syncmers.likeness(a, a).alias("aa")).first()
+    assert row["aa"] == 1 and 0.4 < row["ab"] < 0.6
+
+
 def brute_shards(rows, limit):
     """Classic directory: split a bucket on its next bit while it is over the limit and can be told apart."""
     done, open_ = {}, [("", rows)]
