@@ -194,13 +194,13 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def named_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """cls, component_id, a written table: ``classes`` (cls, first) joined up by
-    ``edges`` (src, dst of cls); component_id is the smallest ``first`` reachable."""
+    """cls, part, component_id, a written table: ``classes`` (cls, first) joined up by
+    ``edges`` (src, dst of cls); part is one number for each component, component_id the smallest ``first`` reachable."""
     parts = components(edges)
     joined = classes.select("cls", "first").join(parts, F.col("cls") == F.col("node"), "left")
     joined = staged(joined.select("cls", "first", F.coalesce("component", "cls").alias("part")), "parts")
     firsts = staged(joined.groupBy("part").agg(F.min("first").alias("component_id")), "firsts")
-    return staged(joined.join(firsts, "part").select("cls", "component_id"), "named")
+    return staged(joined.join(firsts, "part").select("cls", "part", "component_id"), "named")
 
 
 def ranked(df: DataFrame, *keys: str) -> DataFrame:

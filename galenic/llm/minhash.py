@@ -96,7 +96,7 @@ def agreement(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null without shingles), sig of every row."""
+    """doc_id, mark (hash of the text), n_shingles, cls (null without shingles), sig of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +110,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     n.append(len(found))
                     cls.append(class_of(found) if len(found) else None)
                     sig.append(signature(found, a, b) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "mark", "n_shingles", "cls", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, sig array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark bigint, n_shingles bigint, cls bigint, sig array<int>")
 
 
 def postings(classes: DataFrame, t: int) -> DataFrame:
@@ -213,10 +213,8 @@ def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> Dat
     return together(paired(full), "cluster").select("cluster", "lo", "hi", "_mine", "cls", "found").mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: documents whose sets
-    of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or
-    more are linked; component_id is the smallest doc_id reachable."""
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """What ``near_duplicates`` gives, with mark and part (the component, null without shingles) of every row."""
     t = agreement(percent)
     rows = staged(signatures(docs, width), "signatures")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -225,16 +223,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     clusters = components(found).withColumnRenamed("component", "cluster")
     members = staged(classes.select("doc_id", "cls", "n_shingles").join(clusters, F.col("cls") == F.col("node")).drop("node"), "clusters")
     named = named_components(classes.select("cls", F.col("doc_id").alias("first")), links(docs, members, width, percent))
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "mark", "n_shingles", "cls").join(named, "cls", "left")
+    out = out.select("doc_id", "mark", "part", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row: documents whose sets
+    of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or
+    more are linked; component_id is the smallest doc_id reachable."""
+    return grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which near-duplicates keep one: that with the
-    smallest doc_id, once if it is repeated. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    smallest doc_id, and of several of that the text of the smallest hash, once.
+    Other texts of the same doc_id are judged for themselves. Rows without a doc_id stay."""
+    kept = grouped(docs, **options).where("kept and doc_id is not null")
+    kept = kept.groupBy("doc_id", "part").agg(F.min("mark").alias("_mark")).select("doc_id", "_mark")
+    one = docs.withColumn("_mark", F.xxhash64("text")).join(kept, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
     return one.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -110,6 +110,15 @@ def test_documents_empty_and_repeated(docs):
     assert sorted(str(r["doc_id"]) for r in minhash.deduplicated(again).collect()) == ["5", "6", "None"]
 
 
+def test_documents_of_one_id(docs):
+    copy, near = "a b c d e f g h i j k l m n", "a b c d e f g h i j k l m n o"
+    texts = [copy, near, "only here and nowhere else at all", "another text under the same id", "another text under the same id", "", None]
+    rows = minhash.deduplicated(docs(texts, ids=[1, 5, 5, 5, 5, 6, None])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows) == [("1", copy), ("5", texts[3]), ("5", texts[2]), ("6", ""), ("None", None)]
+    both = minhash.deduplicated(docs([copy, near], ids=[5, 5])).collect()
+    assert len(both) == 1
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
