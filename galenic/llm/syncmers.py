@@ -11,13 +11,18 @@ A fingerprint keeps all anchors, hash and place.  Anchors of two texts match by
 hash and by order of place: the first place of a hash with the first, the second
 with the second, and so on.  likeness is the share of the anchors of both that match.
 
+As anchors are free of context, an edited text is not cut again: it has the
+anchors of the part that stays, those of the part put in, moved, and those
+across the joint, which alone are looked for.  Texts are dealt out once, by
+range of doc_id, and each meets its successor in its range; the first text of
+a range is also sent to the range above, and the largest of all to the lowest.
+
 ``anchors`` and ``shared_places`` do the same over words.
 
 Edge cases: null counts as empty; a text without words has the empty
 fingerprint, and two empty fingerprints have likeness 1; a text of one code
-point has that as its anchor; rows
-that repeat a doc_id are fingerprinted row by row, and their next document is
-that of the next other doc_id (the smallest text, if there are several); a row
+point has that as its anchor; rows that repeat a doc_id are fingerprinted row by
+row in the order of a hash of their texts, each followed by the next row; a row
 without a doc_id has no next document; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -27,12 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galenic.llm.common import SPACE, staged
+from galenic.llm.common import SPACE
 
 #: Words of a run of ``anchors``.
 RUN = 5
 #: Code points of a text from which on a level holds, and of its runs and inner runs.
-LEVELS = ((256, 24, 12), (16, 10, 4), (0, 2, 1))
+LEVELS = ((64, 16, 4), (24, 8, 3), (0, 2, 1))
+WHITE = "\t\n\x0b\f\r"
+#: Ranges of doc_id for each shuffle partition.
+RANGES = 4
 
 
 def word_array(text: Column) -> Column:
@@ -70,30 +78,51 @@ def level(*lengths: Column) -> Column:
     return F.when(n >= LEVELS[0][0], 0).when(n >= LEVELS[1][0], 1).otherwise(2)
 
 
-def _runs(h: Column, k: int, s: int) -> Column:
-    """array<bigint>: the anchors, runs of k of the code points with hashes h; hash in the upper, place in the lower half."""
-
-    def joined(values: Column, n: int, step: int = 1) -> Column:
-        return F.transform(values, lambda x, i: F.xxhash64(x, *(F.get(values, i + j) for j in range(step, n, step))))
+def _runs(points: Column, k: int, s: int) -> Column:
+    """array<bigint>: the anchors, runs of k of the code points; hash in the upper, place in the lower half."""
+    wide = k - s
 
     def found(g: Column) -> Column:
-        every = F.sequence(F.lit(0), F.size(h) - k)
-        parts = sorted({*range(0, k - s, s), k - s})
-        edges = lambda i: F.least(F.get(g, i), F.get(g, i + (k - s))) <= F.least(*(F.get(g, i + j) for j in range(1, k - s)))
-        at = F.filter(every, edges) if k - s > 2 else every
-        return F.transform(at, lambda i: F.shiftleft(_hash(*(F.get(g, i + j) for j in parts)), 32).bitwiseOR(i.cast("long")))
+        def edge(i: Column) -> Column:
+            return F.least(F.get(g, i), F.get(g, i + wide)) <= F.array_min(F.slice(g, i + 2, F.lit(wide - 1)))
+
+        every = F.sequence(F.lit(0), F.size(g) - (wide + 1))
+        at = F.filter(every, edge) if wide > 1 else every
+        return F.transform(at, lambda i: F.shiftleft(_hash(F.slice(points, i + 1, F.lit(k))), 32).bitwiseOR(i.cast("long")))
+
+    if s == 1:
+        inner = F.transform(points, lambda c: F.xxhash64(c))
+    else:
+        inner = F.transform(F.sequence(F.lit(1), F.size(points) - (s - 1)), lambda i: F.xxhash64(F.slice(points, i, F.lit(s))))
+    one = F.transform(points, lambda c: F.shiftleft(_hash(c), 32))
+    return F.when(F.size(points) >= k, bound(inner, found)).otherwise(one)
 
-    inner = h if s == 1 else joined(h, s) if s <= 4 else bound(joined(h, 4), lambda four: joined(four, s, 4))
-    one = F.transform(h, lambda x, i: F.shiftleft(_hash(x), 32))
-    return F.when(F.size(h) >= k, bound(inner, found)).otherwise(one)
+
+def code_points(text: Column) -> Column:
+    return F.split(F.translate(text, WHITE, " " * len(WHITE)), "")
+
+
+def blank(text: Column) -> Column:
+    return F.btrim(text, F.lit(" " + WHITE)) == ""
 
 
 def places(text: Column, at: Column) -> Column:
     """array<bigint>: all anchors of a text at level ``at``, in the order of their places."""
-    points = F.transform(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), ""), lambda c: F.xxhash64(c))
     first, second, third = ((k, s) for _, k, s in LEVELS)
-    found = bound(points, lambda h: F.when(at == 0, _runs(h, *first)).when(at == 1, _runs(h, *second)).otherwise(_runs(h, *third)))
-    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.expr("cast(array() as array<bigint>)")).otherwise(found)
+    found = bound(code_points(text), lambda c: F.when(at == 0, _runs(c, *first)).when(at == 1, _runs(c, *second)).otherwise(_runs(c, *third)))
+    return F.when(blank(text), F.expr("cast(array() as array<bigint>)")).otherwise(found)
+
+
+def spliced(own: Column, text: Column, stay: Column, after: Column, other: Column, put: Column) -> Column:
+    """Anchors, at level 0, of the first ``stay`` code points of ``text`` and the
+    first ``put`` of ``after``, from those of either (``own``, ``other``)."""
+    k = LEVELS[0][1]
+    place = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    left = F.filter(own, lambda x: place(x) + k <= stay)
+    right = F.transform(F.filter(other, lambda x: place(x) + k <= put), lambda x: x + stay)
+    joint = F.concat(F.right(F.left(text, stay), F.lit(k - 1)), F.left(F.left(after, put), F.lit(k - 1)))
+    across = bound(code_points(joint), lambda c: _runs(c, *LEVELS[0][1:]))
+    return F.concat(left, F.transform(across, lambda x: x + (stay - (k - 1))), right)
 
 
 def fingerprint(found: Column) -> Column:
@@ -121,8 +150,8 @@ def counted(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: of the anchors of both, the share that matches."""
-    both = F.size(F.array_intersect(counted(a), counted(b)))
+    """0 to 1, of two results of ``counted``: of the anchors of both, the share that matches."""
+    both = F.size(F.array_intersect(a, b))
     return bound(both, lambda n: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
@@ -134,38 +163,56 @@ def shared_places(a: Column, b: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["at"].alias("at"), F.try_element_at(first, x["hash"]).alias("other"), (F.try_element_at(first, x["hash"]) - x["at"]).alias("shift")))
 
 
-def next_ids(rows: DataFrame) -> DataFrame:
-    """doc_id, n, next_id: the next smaller doc_id, after the last the first.
+def followed(rows: DataFrame) -> DataFrame:
+    """doc_id, text, own (anchors), marks (``counted``) of every row, and with
+    next_ what the next one in descending order has; after the last comes the first.
 
-    Ids alone are dealt out by range; each range looks up its successor, and
-    the last of a range takes the largest id of the range below.
+    Ids alone are dealt out by range first, to learn the largest id of each
+    range (a row for each range reaches the driver); then every text travels
+    once to its range and, if it heads one, to the range above as well.
     """
-    ids = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = staged(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    tops = ids.groupBy("part").agg(F.max("doc_id").alias("top"))  # a row for each range
-    below = Window.orderBy("part")
-    tops = tops.select(F.col("part").alias("_part"), F.coalesce(F.lag("top").over(below), F.max("top").over(Window.partitionBy())).alias("below"))
-    inside = Window.partitionBy("part").orderBy(F.desc("doc_id"))
-    found = ids.withColumn("next_id", F.lead("doc_id").over(inside)).join(tops, F.col("part") == F.col("_part"))
-    return found.select("doc_id", "n", F.coalesce("next_id", "below").alias("next_id"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
+    ids = rows.select("doc_id").repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top"))
+    tops = [r["top"] for r in ids.orderBy("part").collect()]
+    if not tops:
+        tops = [None]
+    kind = rows.schema["doc_id"].dataType
+    bounds = F.array(*(F.lit(t).cast(kind) for t in tops))
+    mark = F.xxhash64(F.lit(11), "text")
+    part = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    above = F.pmod(F.col("part") + 1, F.lit(len(tops)))
+    dealt = rows.select("doc_id", "text", mark.alias("mark"), part.alias("part"))
+    # of the rows of a range's largest id, the one that comes first heads it
+    heads = dealt.where(F.col("doc_id") == F.get(bounds, F.col("part"))).groupBy("part").agg(F.min_by(F.struct("doc_id", "text"), "mark").alias("head"), F.min("mark").alias("mark"))
+    heads = heads.select("head.doc_id", "head.text", "mark", above.cast("int").alias("part"), F.lit(True).alias("copy"))
+    dealt = dealt.withColumn("copy", F.lit(False)).union(heads).repartition("part")
+    own = places(F.col("text"), level(F.length("text")))
+    dealt = dealt.withColumn("own", own).withColumn("marks", counted(F.col("own")))
+    order = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "mark")
+    after = F.lead(F.struct("text", "own", "marks")).over(order)
+    found = dealt.withColumn("after", after).where("not copy")
+    return found.select("doc_id", "text", "own", "marks", F.col("after.text").alias("next"), F.col("after.own").alias("next_own"), F.col("after.marks").alias("next_marks"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.where("doc_id is not null")
-    asked = staged(next_ids(known).select(F.col("doc_id").alias("asker"), "next_id"), "next")
-    after = known.join(asked, known["doc_id"] == asked["next_id"]).groupBy("asker").agg(F.min("text").alias("next"))
-    found = known.join(after, known["doc_id"] == after["asker"]).select("doc_id", "text", "next")
-    found = found.union(rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("next")))
+    found = followed(rows.where("doc_id is not null"))
+    own = places(F.col("text"), level(F.length("text")))
+    alone = rows.where("doc_id is null").withColumn("own", own).withColumn("marks", counted(F.col("own")))
+    none = {"next": "string", "next_own": "array<bigint>", "next_marks": "array<bigint>"}
+    found = found.union(alone.select("doc_id", "text", "own", "marks", *(F.lit(None).cast(kind).alias(name) for name, kind in none.items())))
     n, half = F.length("text"), F.expr("cast(length(text) div 2 as int)")
-    found = found.withColumn("edited", F.concat(F.left("text", n - half), F.left(F.coalesce("next", F.lit("")), half)))
-    scale = {name: level(*(F.length(c) for c in name.split("+"))) for name in ("text", "edited", "text+edited", "text+next")}
-    found = found.withColumn("own", places(F.col("text"), scale["text"])).withColumn("new", places(F.col("edited"), scale["edited"]))
+    after = F.coalesce("next", F.lit(""))
+    found = found.withColumn("edited", F.concat(F.left("text", n - half), F.left(after, half)))
+    scale = {name: level(*(F.length(c) for c in name.split("+"))) for name in ("text", "edited", "next", "text+edited", "text+next")}
+    whole = (scale["text"] == 0) & (scale["edited"] == 0) & (scale["next"] == 0) & ~blank(F.col("text")) & ~blank(F.col("next")) & ~blank(F.col("edited"))
+    spliced_ = spliced(F.col("own"), F.col("text"), n - half, after, F.col("next_own"), F.least(half, F.length(after)))
+    found = found.withColumn("new", F.when(F.coalesce(whole, F.lit(False)), spliced_).otherwise(places(F.col("edited"), scale["edited"])))
+    found = found.withColumn("new_marks", counted(F.col("new")))
 
     def at(column: str, name: str, pair: str) -> Column:
-        return F.when(scale[name] == scale[pair], F.col(column)).otherwise(places(F.col(name), scale[pair]))
+        return F.when(scale[name] == scale[pair], F.col(column)).otherwise(counted(places(F.col(name), scale[pair])))
 
     return found.select(
         "doc_id",
@@ -173,6 +220,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("new")).alias("edited_fingerprint"),
-        bound(at("own", "text", "text+edited"), lambda a: bound(at("new", "edited", "text+edited"), lambda b: likeness(a, b))).alias("near_edited"),
-        F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(bound(at("own", "text", "text+next"), lambda a: bound(places(F.col("next"), scale["text+next"]), lambda b: likeness(a, b)))).alias("near_next"),
+        bound(at("marks", "text", "text+edited"), lambda a: bound(at("new_marks", "edited", "text+edited"), lambda b: likeness(a, b))).alias("near_edited"),
+        F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(bound(at("marks", "text", "text+next"), lambda a: bound(at("next_marks", "next", "text+next"), lambda b: likeness(a, b)))).alias("near_next"),
     )

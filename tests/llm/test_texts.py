@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -119,9 +121,56 @@ def test_fingerprints_of_all_anchors(docs):
     assert 0.2 < rows[4]["near_edited"] < 0.8  # a script without blanks
 
 
+def brute_anchors(text):
+    """Closed syncmers by their definition, with the hashes that Spark gives."""
+    if not text.strip(" \t\n\x0b\x0c\r"):
+        return []
+    c = [" " if x in "\t\n\x0b\x0c\r" else x for x in text]
+    k, s = next((k, s) for n, k, s in syncmers.LEVELS if len(text) >= n)
+
+    def mix(parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    if len(c) < k:
+        return [f"{mix([x]) & 0xFFFFFFFF:08x}{i:x}" for i, x in enumerate(c)]
+    g = [mix(c[i : i + s]) for i in range(len(c) - s + 1)]
+    closed = [i for i in range(len(c) - k + 1) if k - s < 2 or min(g[i], g[i + k - s]) <= min(g[i + 1 : i + k - s])]
+    return [f"{mix(c[i : i + k]) & 0xFFFFFFFF:08x}{i:x}" for i in closed]
+
+
+def brute_likeness(a, b):
+    a, b = (Counter(x[:8] for x in f) for f in (a, b))
+    both = sum((a & b).values())
+    return 1.0 if not a and not b else both / (a.total() + b.total() - both)
+
+
+def test_fingerprints_by_brute_force(docs):
+    rng = random.Random(15)
+    alphabet = ["a", "b ", "the ", "é", "𝄞", "漢", "\n", " ", "\t ", "word", "12"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 3, 10, 20, 40, 80, 300]))) for _ in range(120)]
+    texts += [None, "", " " * 100, "x" * 70, " " * 40 + "y" * 60, "y" * 60 + " " * 60, " " * 59 + "yy" + " " * 59, texts[7], texts[7]]
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(docs(texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[i - 1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, new, other = brute_anchors(t), brute_anchors(edited), brute_anchors(after)
+        split = lambda f: f.split(",") if f else []
+        assert split(rows[i]["fingerprint"]) == own and split(rows[i]["edited_fingerprint"]) == new
+        level = lambda x: next(n for n, _, _ in syncmers.LEVELS if len(x) >= n)
+        for column, text, found in (("near_edited", edited, new), ("near_next", after, other)):
+            if level(t) == level(text):
+                assert abs(rows[i][column] - brute_likeness(own, found)) < 1e-12
+
+
 def test_likeness_counts_places(spark):
     df = spark.createDataFrame([("abcdefgh" * 40, "abcdefgh" * 80)], "a string, b string")
     a, b = (syncmers.places(F.col(c), F.lit(0)) for c in "ab")
+    a, b = syncmers.counted(a), syncmers.counted(b)
     row = df.select(syncmers.likeness(a, b).alias("ab"), syncmers.likeness(a, a).alias("aa")).first()
     assert row["aa"] == 1 and 0.4 < row["ab"] < 0.6
 
