@@ -38,7 +38,6 @@ from galenic.llm.common import SPACE
 RUN = 5
 #: Code points of a text from which on a level holds, and of its runs and inner runs.
 LEVELS = ((64, 16, 4), (24, 8, 3), (0, 2, 1))
-WHITE = "\t\n\x0b\f\r"
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 
@@ -72,87 +71,90 @@ def anchors(text: Column) -> Column:
     return bound(F.transform(word_array(text), lambda w: F.xxhash64(w)), closed)
 
 
-def level(*lengths: Column) -> Column:
-    """The number in ``LEVELS`` at which texts of these lengths are compared."""
-    n = F.least(*lengths) if len(lengths) > 1 else lengths[0]
-    return F.when(n >= LEVELS[0][0], 0).when(n >= LEVELS[1][0], 1).otherwise(2)
+# The expressions over code points are written as SQL text: they are large, and
+# as one text each they are parsed at once.
 
 
-def _runs(points: Column, k: int, s: int) -> Column:
-    """array<bigint>: the anchors, runs of k of the code points; hash in the upper, place in the lower half."""
-    wide = k - s
+def let(value: str, name: str, use: str) -> str:
+    """``use``, an expression of ``name``, with ``value`` computed once, however often ``use`` looks at it."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
-    def found(g: Column) -> Column:
-        def edge(i: Column) -> Column:
-            return F.least(F.get(g, i), F.get(g, i + wide)) <= F.array_min(F.slice(g, i + 2, F.lit(wide - 1)))
 
-        every = F.sequence(F.lit(0), F.size(g) - (wide + 1))
-        at = F.filter(every, edge) if wide > 1 else every
-        return F.transform(at, lambda i: F.shiftleft(_hash(F.slice(points, i + 1, F.lit(k))), 32).bitwiseOR(i.cast("long")))
+def level(*lengths: str) -> str:
+    """The number in ``LEVELS`` at which texts of these lengths are compared."""
+    n = f"least({', '.join(lengths)})" if len(lengths) > 1 else lengths[0]
+    return f"(case when {n} >= {LEVELS[0][0]} then 0 when {n} >= {LEVELS[1][0]} then 1 else 2 end)"
 
-    if s == 1:
-        inner = F.transform(points, lambda c: F.xxhash64(c))
-    else:
-        inner = F.transform(F.sequence(F.lit(1), F.size(points) - (s - 1)), lambda i: F.xxhash64(F.slice(points, i, F.lit(s))))
-    one = F.transform(points, lambda c: F.shiftleft(_hash(c), 32))
-    return F.when(F.size(points) >= k, bound(inner, found)).otherwise(one)
 
+def _packed(value: str, place: str) -> str:
+    return f"(shiftleft(({value}) & 4294967295, 32) | cast({place} as bigint))"
 
-def code_points(text: Column) -> Column:
-    return F.split(F.translate(text, WHITE, " " * len(WHITE)), "")
 
+def _runs(points: str, k: int, s: int) -> str:
+    """array<bigint>: the anchors, runs of k of the code points, in the order of their hashes; hash in the upper, place in the lower half."""
+    wide = k - s
 
-def blank(text: Column) -> Column:
-    return F.btrim(text, F.lit(" " + WHITE)) == ""
+    def least(v: str, at: str, step: int) -> str:
+        """Whether v is not above any of the inner values; most are decided by the first few."""
+        return " and ".join(f"{v} <= get(g, {at} + {step * j})" for j in range(1, max(2, wide)))
 
+    left = f"case when {least('v', 'i', 1)} and get(g, i + {wide}) is not null then i end"
+    # only of runs that are no anchors by their left edge
+    right = f"case when {least('v', 'i', -1)} and get(g, i - {wide}) is not null and not ({least(f'get(g, i - {wide})', f'i - {wide}', 1)}) then i - {wide} end"
+    starts = ", ".join(f"filter(transform(g, (v, i) -> {edge}), i -> i is not null)" for edge in (left, right))
+    whole = ", ".join(f"get(g, i + {j})" for j in sorted({*range(0, wide, s), wide}))
+    found = f"sort_array(transform(concat({starts}), i -> {_packed(f'xxhash64({whole})', 'i')}))"
+    inner = ", ".join(f"get({points}, i + {j})" for j in range(s))
+    hashes = f"transform(sequence(0, size({points}) - {s}), i -> xxhash64({inner}))"
+    one = f"sort_array(transform({points}, (c, i) -> {_packed('xxhash64(c)', 'i')}))"
+    return f"case when size({points}) >= {k} then {let(hashes, 'g', found)} else {one} end"
 
-def places(text: Column, at: Column) -> Column:
-    """array<bigint>: all anchors of a text at level ``at``, in the order of their places."""
-    first, second, third = ((k, s) for _, k, s in LEVELS)
-    found = bound(code_points(text), lambda c: F.when(at == 0, _runs(c, *first)).when(at == 1, _runs(c, *second)).otherwise(_runs(c, *third)))
-    return F.when(blank(text), F.expr("cast(array() as array<bigint>)")).otherwise(found)
 
+def code_points(text: str) -> str:
+    return rf"split(translate({text}, '\t\n\u000b\f\r', '     '), '')"
 
-def spliced(own: Column, text: Column, stay: Column, after: Column, other: Column, put: Column) -> Column:
-    """Anchors, at level 0, of the first ``stay`` code points of ``text`` and the
-    first ``put`` of ``after``, from those of either (``own``, ``other``)."""
-    k = LEVELS[0][1]
-    place = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-    left = F.filter(own, lambda x: place(x) + k <= stay)
-    right = F.transform(F.filter(other, lambda x: place(x) + k <= put), lambda x: x + stay)
-    joint = F.concat(F.right(F.left(text, stay), F.lit(k - 1)), F.left(F.left(after, put), F.lit(k - 1)))
-    across = bound(code_points(joint), lambda c: _runs(c, *LEVELS[0][1:]))
-    return F.concat(left, F.transform(across, lambda x: x + (stay - (k - 1))), right)
 
+def blank(text: str) -> str:
+    return rf"(btrim({text}, ' \t\n\u000b\f\r') = '')"
 
-def fingerprint(found: Column) -> Column:
-    """Anchors as text: eight hexadecimal digits of the hash and then the place of each, with commas between."""
-    return F.array_join(F.transform(found, lambda p: F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(p, 32))), 8, "0"), F.lower(F.hex(p.bitwiseAND(F.lit(0xFFFFFFFF)))))), ",")
 
+def places(text: str, at: str) -> str:
+    """array<bigint>: all anchors of a text at level ``at``, in the order of their hashes."""
+    runs = [_runs("c", k, s) for _, k, s in LEVELS]
+    found = let(code_points(text), "c", f"case {at} when 0 then {runs[0]} when 1 then {runs[1]} else {runs[2]} end")
+    return f"case when {blank(text)} then cast(array() as array<bigint>) else {found} end"
 
-def counted(found: Column) -> Column:
-    """array<bigint>: for each anchor a number made of its hash and how many places of the hash come before."""
 
-    def numbered(p: Column) -> Column:
-        def head(i: Column) -> Column:
-            return (i == 0) | (F.shiftright(F.get(p, i), 32) != F.shiftright(F.get(p, i - 1), 32))
+def spliced(own: str, text: str, stay: str, after: str, other: str, put: str) -> str:
+    """Anchors, at level 0, of the first ``stay`` code points of ``text`` and the
+    first ``put`` of ``after``, from those of either (``own``, ``other``)."""
+    _, k, s = LEVELS[0]
+    joint = f"concat(right(left({text}, {stay}), {k - 1}), left(left({after}, {put}), {k - 1}))"
+    across = f"transform({let(code_points(joint), 'c', _runs('c', k, s))}, x -> x + n.stay - {k - 1})"
+    left = f"filter({own}, x -> (x & 4294967295) + {k} <= n.stay)"
+    right = f"transform(filter({other}, x -> (x & 4294967295) + {k} <= n.put), x -> x + n.stay)"
+    # bound: the lengths of whole texts are counted once and not for each anchor
+    return let(f"named_struct('stay', cast({stay} as bigint), 'put', cast({put} as bigint))", "n", f"sort_array(concat({left}, {across}, {right}))")
 
-        def each(starts: Column) -> Column:
-            def group(start: Column, j: Column) -> Column:
-                n = F.coalesce(F.get(starts, j + 1), F.size(p)) - start
-                return F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64(F.shiftright(F.get(p, start), 32), o))
 
-            return F.flatten(F.transform(starts, group))
+def fingerprint(found: Column) -> Column:
+    """Anchors in the order of their hashes as text: eight hexadecimal digits of the hash and eight of the place of each, with commas between."""
+    return F.array_join(F.transform(found, lambda p: F.lpad(F.hex(p), 16, "0")), ",")
 
-        return F.when(F.size(p) == 0, p).otherwise(bound(F.filter(F.sequence(F.lit(0), F.size(p) - 1), head), each))
 
-    return bound(F.sort_array(found), numbered)
+def counted(found: str) -> str:
+    """array<bigint>: for each anchor, in the order of their hashes, a number
+    made of its hash and how many places of the hash come before."""
+    head = "i = 0 or shiftright(get(p, i), 32) <> shiftright(get(p, i - 1), 32)"
+    group = "transform(sequence(0, coalesce(get(starts, j + 1), size(p)) - start - 1), o -> xxhash64(shiftright(get(p, start), 32), o))"
+    each = let(f"filter(sequence(0, size(p) - 1), i -> {head})", "starts", f"flatten(transform(starts, (start, j) -> {group}))")
+    return let(found, "p", f"case when size(p) = 0 then p else {each} end")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: str, b: str) -> str:
     """0 to 1, of two results of ``counted``: of the anchors of both, the share that matches."""
-    both = F.size(F.array_intersect(a, b))
-    return bound(both, lambda n: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
+    share = "case when size(x.a) = 0 and size(x.b) = 0 then 1D else n / (size(x.a) + size(x.b) - n) end"
+    return let(f"named_struct('a', {a}, 'b', {b})", "x", let("size(array_intersect(x.a, x.b))", "n", share))
 
 
 def shared_places(a: Column, b: Column) -> Column:
@@ -163,6 +165,11 @@ def shared_places(a: Column, b: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["at"].alias("at"), F.try_element_at(first, x["hash"]).alias("other"), (F.try_element_at(first, x["hash"]) - x["at"]).alias("shift")))
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with own, the anchors of text, and marks, the same ``counted``."""
+    return rows.withColumn("own", F.expr(places("text", level("length(text)")))).withColumn("marks", F.expr(counted("own")))
+
+
 def followed(rows: DataFrame) -> DataFrame:
     """doc_id, text, own (anchors), marks (``counted``) of every row, and with
     next_ what the next one in descending order has; after the last comes the first.
@@ -186,8 +193,7 @@ def followed(rows: DataFrame) -> DataFrame:
     heads = dealt.where(F.col("doc_id") == F.get(bounds, F.col("part"))).groupBy("part").agg(F.min_by(F.struct("doc_id", "text"), "mark").alias("head"), F.min("mark").alias("mark"))
     heads = heads.select("head.doc_id", "head.text", "mark", above.cast("int").alias("part"), F.lit(True).alias("copy"))
     dealt = dealt.withColumn("copy", F.lit(False)).union(heads).repartition("part")
-    own = places(F.col("text"), level(F.length("text")))
-    dealt = dealt.withColumn("own", own).withColumn("marks", counted(F.col("own")))
+    dealt = marked(dealt)
     order = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "mark")
     after = F.lead(F.struct("text", "own", "marks")).over(order)
     found = dealt.withColumn("after", after).where("not copy")
@@ -198,28 +204,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = followed(rows.where("doc_id is not null"))
-    own = places(F.col("text"), level(F.length("text")))
-    alone = rows.where("doc_id is null").withColumn("own", own).withColumn("marks", counted(F.col("own")))
+    alone = marked(rows.where("doc_id is null"))
     none = {"next": "string", "next_own": "array<bigint>", "next_marks": "array<bigint>"}
     found = found.union(alone.select("doc_id", "text", "own", "marks", *(F.lit(None).cast(kind).alias(name) for name, kind in none.items())))
-    n, half = F.length("text"), F.expr("cast(length(text) div 2 as int)")
-    after = F.coalesce("next", F.lit(""))
-    found = found.withColumn("edited", F.concat(F.left("text", n - half), F.left(after, half)))
-    scale = {name: level(*(F.length(c) for c in name.split("+"))) for name in ("text", "edited", "next", "text+edited", "text+next")}
-    whole = (scale["text"] == 0) & (scale["edited"] == 0) & (scale["next"] == 0) & ~blank(F.col("text")) & ~blank(F.col("next")) & ~blank(F.col("edited"))
-    spliced_ = spliced(F.col("own"), F.col("text"), n - half, after, F.col("next_own"), F.least(half, F.length(after)))
-    found = found.withColumn("new", F.when(F.coalesce(whole, F.lit(False)), spliced_).otherwise(places(F.col("edited"), scale["edited"])))
-    found = found.withColumn("new_marks", counted(F.col("new")))
-
-    def at(column: str, name: str, pair: str) -> Column:
-        return F.when(scale[name] == scale[pair], F.col(column)).otherwise(counted(places(F.col(name), scale[pair])))
+    half, after = "cast(length(text) div 2 as int)", "coalesce(next, '')"
+    found = found.withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left({after}, {half}))"))
+    scale = {name: level(*(f"length({c})" for c in name.split("+"))) for name in ("text", "edited", "next", "text+edited", "text+next")}
+    whole = " and ".join(f"{scale[c]} = 0 and not {blank(c)}" for c in ("text", "edited", "next"))
+    splice = spliced("own", "text", f"length(text) - {half}", after, "next_own", f"least({half}, length({after}))")
+    found = found.withColumn("new", F.expr(f"case when next is not null and {whole} then {splice} else {places('edited', scale['edited'])} end"))
+    found = found.withColumn("new_marks", F.expr(counted("new")))
+
+    def at(column: str, name: str, pair: str) -> str:
+        return f"case when {scale[name]} = {scale[pair]} then {column} else {counted(places(name, scale[pair]))} end"
 
     return found.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("new")).alias("edited_fingerprint"),
-        bound(at("marks", "text", "text+edited"), lambda a: bound(at("new_marks", "edited", "text+edited"), lambda b: likeness(a, b))).alias("near_edited"),
-        F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(bound(at("marks", "text", "text+next"), lambda a: bound(at("next_marks", "next", "text+next"), lambda b: likeness(a, b)))).alias("near_next"),
+        F.expr(likeness(at("marks", "text", "text+edited"), at("new_marks", "edited", "text+edited"))).alias("near_edited"),
+        F.expr(f"case when next is null then 0D else {likeness(at('marks', 'text', 'text+next'), at('next_marks', 'next', 'text+next'))} end").alias("near_next"),
     )
