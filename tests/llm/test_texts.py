@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -233,12 +234,50 @@ def test_pii(docs):
 
 
 def test_reliabilities():
-    """A labeler that agrees with the others is trusted; a noisy one is not."""
+    """A labeler that agrees with the others is trusted; a noisy one is not; every yes raises a posterior."""
     counts = {(1, 1, 1): 80, (1, 1, 0): 60, (-1, -1, 0): 70, (-1, -1, 1): 20, (1, -1, 0): 5, (-1, 1, 0): 4}
     post = pii.reliabilities(counts)
     assert post[(1, 1, 0)] > 0.9 and post[(-1, -1, 1)] < 0.2
-    w = pii.classifier(counts, post)
-    assert w[1] > w[2] and w[3] > w[4]
+    for counts in (counts, {(1, 1, 0): 685, (1, -1, 0): 13, (1, 1, 1): 1}, {v: 1 for v in itertools.product((-1, 0, 1), repeat=3)}):
+        post = pii.reliabilities(counts)
+        for v, p in post.items():
+            for i in range(3):
+                for more in range(v[i] + 1, 2):
+                    u = (*v[:i], more, *v[i + 1 :])
+                    assert u not in post or post[u] > p
+
+
+def test_classifier_sees_the_span():
+    """Equal votes, other spans: the features decide, for each kind apart."""
+    secret, card = pii.KINDS.index("secret"), pii.KINDS.index("card")
+    rows = [(secret, (1, 0, 1, 1, 1, 0), 0.95, 100), (secret, (0, 0, 0, 1, 0, 0), 0.1, 100), (card, (0, 1, 0, 0, 0, 0), 0.2, 50), (card, (0, 1, 0, 0, 0, 1), 0.9, 50)]
+    w = pii.classifier(rows)
+    score = {r[:2]: float(np.dot(w, pii.span_vector(*r[:2]))) for r in rows}
+    assert all((score[r[:2]] > 0) == (r[2] > 0.5) for r in rows)
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [[], [5], [rng.randrange(50) for _ in range(pii.PIECE)], [rng.randrange(50) for _ in range(3 * pii.PIECE + 7)]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, n array<int>").where("size(n) > 0")
+    got = {r["i"]: r["s"] for r in df.select("i", pii.running(F.col("n")).alias("s")).collect()}
+    assert got == {i: [sum(r[:k]) for k in range(len(r))] for i, r in enumerate(rows) if r}
+
+
+def test_secrets_and_other_spans(docs):
+    """What the base patterns leave out is proposed, and judged by what it looks like."""
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'some words token = "{key()}" and more words' for _ in range(60)] + [f"login password={key()[:16]} end" for _ in range(60)]
+    texts += [f"plain words {i} and the build version=release notes here" for i in range(200)] + [f"call me at ({rng.randrange(200, 990)}) 555-{rng.randrange(1000, 9999)} today" for i in range(40)]
+    texts += [f"mail to jo{i} [at] example [dot] com" for i in range(20)] + ["see chapter 1.2.3.400 and 999.1.1.1"] * 5
+    rows = {r["doc_id"]: r for r in pii.detect(docs(texts)).collect()}
+    found = [rows[i]["n_added"] > 0 and rows[i]["n_spans"] == rows[i]["n_added"] for i in range(len(texts))]
+    assert all(found[:120]) and all(rows[i]["n_secret"] == 1 for i in range(120))
+    assert not any(found[120:320])
+    assert all(found[320:360]) and all(found[360:380])
+    at = texts[0].index("token")
+    assert rows[0]["spans"].startswith(f"secret:{at}:")
 
 
 def test_mixing(spark, docs):
