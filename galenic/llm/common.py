@@ -2,14 +2,14 @@
 
 * ``staged``      cuts lineage with a table written under ``spark.checkpoint.dir``.
 * ``components``  connected components of an edge table, distributed.
-* ``blocked`` and ``paired`` deal the members of (possibly hot) groups out to
-  pairs of bounded blocks, so that no task ever holds a whole group.
+* ``blocked`` and ``linked`` deal the members of (possibly hot) groups out to
+  bounded blocks, so that no task ever holds a whole group.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,18 +121,59 @@ def blocked(members: DataFrame, group: str, member: str, rows: int, weight: str
     return found.withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks").cast("long")).cast("int"))
 
 
-def paired(dealt: DataFrame) -> DataFrame:
-    """Each row of ``blocked`` once for every block pair (lo, hi) it belongs to:
-    two members of a group meet in the pair of their blocks (lo = hi within one).
-    Groups of one block are not copied."""
-    out = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    out = out.withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
-    return out.drop("_other", "_blocks")
+#: What a block holds of a group: members alone, members to be held against others, and those others.
+ALONE, LEFT, RIGHT = 0, 1, 2
+
+
+def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """src, dst: edges that join the members of each group as all links within it do.
+
+    ``dealt`` is a written table of ``blocked`` with what ``compare`` needs;
+    ``compare`` gets it with side, block and other added, the rows of a block
+    in one task (``together``), and gives edges of it: among members that are
+    ALONE all, between LEFT and RIGHT all that cross.
+
+    1.  Within each block of a group; a group of several blocks sends one member
+        to all of them, so most members are joined through it.  Every row
+        travels once.
+    2.  What is not joined with that member is held against all others of its
+        group, in pairs of blocks.  In a group of near copies little or nothing
+        is left, and rows are copied as often as blocks of that little.
+    """
+    many = dealt.where("_blocks > 1")
+    heads = many.groupBy(group).agg(F.min(member).alias("_head"))
+    head = many.join(heads, group).where(F.col(member) == F.col("_head")).drop("_head")
+    head = head.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("block <> _mine")
+    alone = dealt.withColumn("block", F.col("_mine")).unionByName(head.select(*dealt.columns, "block"))
+    first = staged(compare(together(alone.withColumn("side", F.lit(ALONE)).withColumn("other", F.lit(-1)), group)), "first")
+    if many.isEmpty():
+        return first
+    parts = components(first).select(F.col("node").alias("_node"), F.col("component").alias("_part"))
+    whose = many.select(group, member, "_mine", "_blocks").join(parts, F.col(member) == F.col("_node"), "left")
+    whose = staged(whose.select(group, member, "_blocks", F.coalesce("_part", member).alias("_part")), "parts")
+    main = whose.join(heads, [group]).where(F.col(member) == F.col("_head")).select(group, F.col("_part").alias("_main"))
+    rest = whose.join(main, group).where("_part <> _main").select(group, member)
+    # both tables of members: those left over, in blocks of their own, and all, in the blocks they have
+    sizes = staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "rest")
+    if sizes.isEmpty():
+        return first
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = many.join(rest, [group, member], "left_semi").join(sizes, group)
+    left = left.withColumn("block", F.pmod(F.xxhash64(F.lit(9), member), F.col("_rest").cast("long")).cast("int")).withColumn("other", spread("_blocks")).withColumn("side", F.lit(LEFT))
+    right = many.join(sizes, group).withColumn("block", spread("_rest")).withColumn("other", F.col("_mine")).withColumn("side", F.lit(RIGHT))
+    pairs = left.unionByName(right).drop("_rest")
+    return first.union(staged(compare(together(pairs, group)), "second"))
 
 
 def together(pairs: DataFrame, group: str) -> DataFrame:
-    """The rows of a block pair in one task, next to each other."""
-    return pairs.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    """The rows of a block, or of a pair of blocks, in one task, next to each other."""
+    return pairs.repartition(group, "block", "other").sortWithinPartitions(group, "block", "other")
+
+
+def crossing(side: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a comparison of ``linked`` may join."""
+    left, right = side != RIGHT, side != LEFT
+    return left[:, None] & right[None, :] | right[:, None] & left[None, :]
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

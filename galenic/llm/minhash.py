@@ -7,12 +7,13 @@
     least t of K coordinates share one of the K - t + 1 rarest of either
     (prefix), so only those are posted; classes with fewer than t shared values
     are skipped altogether, and frequent values are skipped with them.
-3.  In a list of postings, agreeing coordinates are counted; pairs with t or
-    more are candidates, and each list passes on a spanning tree of them.
-    Long lists are dealt out in pairs of bounded blocks.
-4.  In each cluster of candidates full sets are compared, again in block
-    pairs, and a spanning tree of the links found goes on.  Components of
-    those links are the result.
+3.  In a list of postings collisions are counted by merging, coordinate by
+    coordinate, skipping postings of most rows at first; pairs with t or more
+    are candidates.  Long lists are dealt out in bounded blocks that all meet
+    one member of the list, and only what that member does not join goes on to
+    pairs of blocks (``common.linked``).
+4.  In each cluster of candidates full sets are compared, in the same way.
+    Components of those links are the result.
 
 t lies 4.5 standard deviations below what a pair at the threshold expects, so
 a pair is missed with a probability of about one in 100,000; pairs are never
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galenic.llm.common import Linked, blocked, components, named_components, paired, runs, spanning, staged, together
+from galenic.llm.common import Linked, blocked, components, crossing, linked, named_components, runs, spanning, staged
 
 K = 64
 SLICE = 256
@@ -126,35 +127,55 @@ def postings(classes: DataFrame, t: int) -> DataFrame:
     return shared.where((F.col("m") >= t) & (F.col("rank") <= F.col("m") - t + 1)).select("value", "cls")
 
 
+def collisions(signs: np.ndarray, t: int) -> np.ndarray:
+    """Which rows agree on t coordinates or more, by merging the postings of each (coordinate, value).
+
+    Every posting of two rows or more adds one to the pairs in it; a posting of
+    over half of the rows is skipped at first, and counted only for the pairs
+    that can still reach t with it.  Few rows are held against each other at once.
+    """
+    n, k = signs.shape
+    if n <= 64:
+        return (signs[:, None, :] == signs[None, :, :]).sum(axis=2) >= t
+    count = np.zeros((n, n), dtype=np.uint8)
+    skipped = []
+    for at in range(k):
+        values, where, size = np.unique(signs[:, at], return_inverse=True, return_counts=True)
+        if len(values) == n:
+            continue
+        if 2 * size.max() > n:
+            skipped.append(at)
+            continue
+        shared = np.flatnonzero(size[where] > 1)
+        count[np.ix_(shared, shared)] += where[shared, None] == where[None, shared]
+    if skipped:
+        a, b = np.nonzero(count >= max(0, t - len(skipped)))
+        for at in range(0, len(a), 1 << 18):
+            x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+            count[x, y] += (signs[x][:, skipped] == signs[y][:, skipped]).sum(axis=1).astype(np.uint8)
+    return count >= t
+
+
 def candidates(posted: DataFrame, classes: DataFrame, t: int) -> DataFrame:
-    """src, dst: spanning trees of the pairs that agree on t coordinates or more."""
-    low = classes.select("cls", F.to_binary(F.array_join(F.transform("sig", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0")), ""), F.lit("hex")).alias("bits"))
-    dealt = together(paired(blocked(posted, "value", "cls", LIST_ROWS).join(low, "cls")), "value")
+    """src, dst: edges that join what the pairs agreeing on t coordinates or more do."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst, linked = [], [], Linked()
-        for group in runs(batches, ["value", "lo", "hi"]):
-            if group.num_rows < 2:
-                continue
-            group = group.combine_chunks()
-            cls = group.column("cls").to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint8).reshape(len(cls), K)
-            mine = group.column("_mine").to_numpy()
-            links = np.zeros((len(cls), len(cls)), dtype=bool)
-            for i in range(len(cls)):
-                links[i] = (bits == bits[i]).sum(axis=1) >= t
-            if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
-                links &= mine[:, None] != mine[None, :]
-            for i, j in spanning(links):
-                if linked.new(int(cls[i]), int(cls[j])):
-                    src.append(cls[i])
-                    dst.append(cls[j])
-            if len(src) > 5000:
-                yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
-                src, dst = [], []
-        yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
-
-    return dealt.select("value", "lo", "hi", "_mine", "cls", "bits").mapInArrow(run, "src bigint, dst bigint")
+    def compare(dealt: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Linked()
+            for group in runs(batches, ["value", "block", "other"]):
+                if group.num_rows < 2:
+                    continue
+                cls = group.column("cls").to_numpy()
+                signs = group.combine_chunks().column("sig").chunk(0).flatten().to_numpy().reshape(-1, K)
+                found = collisions(signs, t) & crossing(group.column("side").to_numpy())
+                new = [(int(cls[i]), int(cls[j])) for i, j in spanning(found) if known.new(int(cls[i]), int(cls[j]))]
+                if new:
+                    yield pa.RecordBatch.from_pydict({"src": pa.array([a for a, _ in new], pa.int64()), "dst": pa.array([b for _, b in new], pa.int64())})
+
+        return dealt.select("value", "block", "other", "side", "cls", "sig").mapInArrow(run, "src bigint, dst bigint")
+
+    dealt = blocked(posted, "value", "cls", LIST_ROWS).join(classes.select("cls", "sig"), "cls")
+    return linked(staged(dealt, "lists"), "value", "cls", LIST_ROWS, compare)
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -181,7 +202,7 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """src, dst: spanning trees of the links confirmed on full sets. ``clusters``: doc_id, cls, n_shingles, cluster."""
+    """src, dst: edges that join what the links confirmed on full sets do. ``clusters``: doc_id, cls, n_shingles, cluster."""
     dealt = blocked(clusters, "cluster", "cls", CLUSTER_ROWS, "n_shingles", CLUSTER_SHINGLES)
     texts = docs.select("doc_id", "text").join(dealt.drop("n_shingles"), "doc_id")
 
@@ -195,22 +216,23 @@ def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> Dat
                 out = part.select(["cls", "cluster", "_mine", "_blocks"]).append_column("found", pa.array([f.tobytes() for f in found], pa.binary()))
                 yield out.filter(pa.array(same))
 
-    full = texts.mapInArrow(sets, "cls bigint, cluster bigint, _mine int, _blocks int, found binary")
+    full = staged(texts.mapInArrow(sets, "cls bigint, cluster bigint, _mine int, _blocks int, found binary"), "sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["cluster", "lo", "hi"]):
-            if group.num_rows < 2:
-                continue
-            cls, mine = group.column("cls").to_numpy(), group.column("_mine").to_numpy()
-            inter = overlap([np.frombuffer(b, dtype=np.uint64) for b in group.column("found").to_pylist()])
-            n = np.diag(inter)
-            linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-            if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
-                linked &= mine[:, None] != mine[None, :]
-            tree = spanning(linked)
-            yield pa.RecordBatch.from_pydict({"src": pa.array([cls[i] for i, _ in tree], pa.int64()), "dst": pa.array([cls[j] for _, j in tree], pa.int64())})
-
-    return together(paired(full), "cluster").select("cluster", "lo", "hi", "_mine", "cls", "found").mapInArrow(run, "src bigint, dst bigint")
+    def compare(dealt: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in runs(batches, ["cluster", "block", "other"]):
+                if group.num_rows < 2:
+                    continue
+                cls = group.column("cls").to_numpy()
+                inter = overlap([np.frombuffer(b, dtype=np.uint64) for b in group.column("found").to_pylist()])
+                n = np.diag(inter)
+                found = (100 * inter >= percent * (n[:, None] + n[None, :] - inter)) & crossing(group.column("side").to_numpy())
+                tree = spanning(found)
+                yield pa.RecordBatch.from_pydict({"src": pa.array([cls[i] for i, _ in tree], pa.int64()), "dst": pa.array([cls[j] for _, j in tree], pa.int64())})
+
+        return dealt.select("cluster", "block", "other", "side", "cls", "found").mapInArrow(run, "src bigint, dst bigint")
+
+    return linked(full, "cluster", "cls", CLUSTER_ROWS, compare)
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -15,11 +15,11 @@ kind, how often it is right and how reliable each labeler is.  A labeler is
 taken to be better than chance, so that a yes never lowers a posterior; one
 that abstains says nothing.  The posteriors are the labels of a logistic
 classifier over features of the span itself (kind, length, share of digits,
-mix of characters, quotes, grouping), which decides on the candidates.  Base
+mix of characters, quotes, grouping, check digits), which decides on the candidates.  Base
 spans stay whatever it says.
 
 Only counts reach the driver: one row for each combination of kind (6), votes
-(27) and features (2 to the power of 6), 10,368 at most.
+(27) and features (2 to the power of 7), 20,736 at most.
 
 Positions count code points, the end is exclusive.  Edge cases: null and empty
 texts have no spans; control characters 1 and 2 in a text count as characters
@@ -207,25 +207,27 @@ def votes(kind: str, span: Column) -> tuple[Column, Column, Column]:
 
 
 #: Names of the features of a span, 0 or 1 each.
-FEATURES = ("long", "digits", "mixed", "signs", "quoted", "grouped")
+FEATURES = ("long", "digits", "mixed", "signs", "quoted", "grouped", "checked")
 
 
-def features(span: Column) -> list[Column]:
-    """Of the span itself: over 20 characters; mostly digits; letters and digits mixed; a sign of assignment or an @; a quote; separators between digits."""
+def features(kind: str, span: Column) -> list[Column]:
+    """Of the span itself: over 20 characters; mostly digits; letters and digits mixed; a sign of assignment or
+    an @; a quote; separators between digits; check digits (cards) or octets (addresses) that hold."""
     text = span["text"]
     n, d = F.length(text), F.length(digits(text))
-    return [n > 20, 2 * d >= n, mixed(text), text.rlike("[@=:]"), text.rlike(r"[\x22\x27]"), text.rlike(r"[0-9][\x20().-]+[0-9]")]
+    checked = {"card": luhn(digits(text)), "ip": octets(text)}.get(kind, F.lit(False))
+    return [n > 20, 2 * d >= n, mixed(text), text.rlike("[@=:]"), text.rlike(r"[\x22\x27]"), text.rlike(r"[0-9][\x20().-]+[0-9]"), checked]
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """doc_id, base and more: arrays of (kind, start, end, v1..v3, f1..f6), kinds by their place in KINDS."""
+    """doc_id, base and more: arrays of (kind, start, end, v1..v3, f1..f7), kinds by their place in KINDS."""
     text = F.translate(F.coalesce("text", F.lit("")), "\x01\x02", "\x03\x03")
     found = docs.select("doc_id", text.alias("t"))
 
     def row(kind: str):
         def of(s: Column) -> Column:
             v = [x.cast("int").alias(f"v{i}") for i, x in enumerate(votes(kind, s), 1)]
-            f = [x.cast("int").alias(f"f{i}") for i, x in enumerate(features(s), 1)]
+            f = [x.cast("int").alias(f"f{i}") for i, x in enumerate(features(kind, s), 1)]
             return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *v, *f)
 
         return of

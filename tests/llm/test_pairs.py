@@ -119,6 +119,42 @@ def test_documents_of_one_id(docs):
     assert len(both) == 1
 
 
+@pytest.mark.parametrize("same", (0.2, 0.7, 0.95))
+def test_collisions(same):
+    """Merged counts are those of a plain comparison, with few and with very frequent values."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 20, 64).astype(np.int32)
+    signs = np.where(rng.random((150, 64)) < same, base, rng.integers(0, 40, (150, 64))).astype(np.int32)
+    plain = np.array([[(a == b).sum() for b in signs] for a in signs])
+    for t in (1, 20, 41, 60):
+        assert (minhash.collisions(signs, t) == (plain >= t)).all()
+
+
+def test_linked_joins_what_all_pairs_join(spark):
+    """Points on a line, linked when near: one large group, several blocks, some left over after the first member."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    points = [(0, i, rng.choice([0, 40, 80]) + rng.randrange(12)) for i in range(120)] + [(1, 200 + i, i) for i in range(5)] + [(2, 300, 1)]
+
+    def compare(dealt):
+        def run(batches):
+            for group in common.runs(batches, ["g", "block", "other"]):
+                x, m = group.column("x").to_numpy(), group.column("m").to_numpy()
+                found = (np.abs(x[:, None] - x[None, :]) <= 1) & common.crossing(group.column("side").to_numpy())
+                tree = common.spanning(found)
+                yield pa.RecordBatch.from_pydict({"src": pa.array([m[i] for i, _ in tree], pa.int64()), "dst": pa.array([m[j] for _, j in tree], pa.int64())})
+
+        return dealt.select("g", "block", "other", "side", "m", "x").mapInArrow(run, "src bigint, dst bigint")
+
+    members = common.staged(spark.createDataFrame(points, "g long, m long, x long"))
+    dealt = common.staged(common.blocked(members, "g", "m", 8))
+    got = {r["node"]: r["component"] for r in common.components(common.linked(dealt, "g", "m", 8, compare)).collect()}
+    n = 400
+    want = parts(n, [(a[1], b[1]) for a, b in itertools.combinations(points, 2) if a[0] == b[0] and abs(a[2] - b[2]) <= 1])
+    assert all(got.get(m, m) == want[m] for _, m, _ in points)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -250,7 +250,7 @@ def test_reliabilities():
 def test_classifier_sees_the_span():
     """Equal votes, other spans: the features decide, for each kind apart."""
     secret, card = pii.KINDS.index("secret"), pii.KINDS.index("card")
-    rows = [(secret, (1, 0, 1, 1, 1, 0), 0.95, 100), (secret, (0, 0, 0, 1, 0, 0), 0.1, 100), (card, (0, 1, 0, 0, 0, 0), 0.2, 50), (card, (0, 1, 0, 0, 0, 1), 0.9, 50)]
+    rows = [(secret, (1, 0, 1, 1, 1, 0, 0), 0.95, 100), (secret, (0, 0, 0, 1, 0, 0, 0), 0.1, 100), (card, (0, 1, 0, 0, 0, 0, 0), 0.2, 50), (card, (0, 1, 0, 0, 0, 0, 1), 0.9, 50)]
     w = pii.classifier(rows)
     score = {r[:2]: float(np.dot(w, pii.span_vector(*r[:2]))) for r in rows}
     assert all((score[r[:2]] > 0) == (r[2] > 0.5) for r in rows)
