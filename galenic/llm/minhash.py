@@ -153,7 +153,9 @@ def collisions(signs: np.ndarray, t: int) -> np.ndarray:
         for at in range(0, len(a), 1 << 18):
             x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
             count[x, y] += (signs[x][:, skipped] == signs[y][:, skipped]).sum(axis=1).astype(np.uint8)
-    return count >= t
+    found = count >= t
+    np.fill_diagonal(found, True)
+    return found
 
 
 def candidates(posted: DataFrame, classes: DataFrame, t: int) -> DataFrame:
