@@ -131,7 +131,9 @@ def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callab
     ``dealt`` is a written table of ``blocked`` with what ``compare`` needs;
     ``compare`` gets it with side, block and other added, the rows of a block
     in one task (``together``), and gives edges of it: among members that are
-    ALONE all, between LEFT and RIGHT all that cross.
+    ALONE all, between LEFT and RIGHT all that cross.  Edges lead to the first
+    row of their part in a block (``spanning``), and in groups of several blocks
+    (_blocks over 1) none is left out, even if it follows from others.
 
     1.  Within each block of a group; a group of several blocks sends one member
         to all of them, so most members are joined through it.  Every row
@@ -145,16 +147,16 @@ def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callab
     head = many.join(heads, group).where(F.col(member) == F.col("_head")).drop("_head")
     head = head.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("block <> _mine")
     alone = dealt.withColumn("block", F.col("_mine")).unionByName(head.select(*dealt.columns, "block"))
-    first = staged(compare(together(alone.withColumn("side", F.lit(ALONE)).withColumn("other", F.lit(-1)), group)), "first")
+    first = staged(compare(together(alone.withColumn("side", F.lit(ALONE)).withColumn("other", F.lit(-1)), group, member)), "first")
     if many.isEmpty():
         return first
-    parts = components(first).select(F.col("node").alias("_node"), F.col("component").alias("_part"))
-    whose = many.select(group, member, "_mine", "_blocks").join(parts, F.col(member) == F.col("_node"), "left")
-    whose = staged(whose.select(group, member, "_blocks", F.coalesce("_part", member).alias("_part")), "parts")
-    main = whose.join(heads, [group]).where(F.col(member) == F.col("_head")).select(group, F.col("_part").alias("_main"))
-    rest = whose.join(main, group).where("_part <> _main").select(group, member)
+    # the head comes first in its blocks, so what a block joins with it is an edge to it
+    whose = many.join(heads, group).where(F.col(member) != F.col("_head")).select(group, member, "_head")
+    found = first.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    rest = whose.join(found, (F.col(member) == F.col("_src")) & (F.col("_head") == F.col("_dst")), "left_anti").select(group, member)
     # both tables of members: those left over, in blocks of their own, and all, in the blocks they have
-    sizes = staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "rest")
+    rest = staged(rest, "rest")
+    sizes = staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "sizes")
     if sizes.isEmpty():
         return first
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -162,12 +164,12 @@ def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callab
     left = left.withColumn("block", F.pmod(F.xxhash64(F.lit(9), member), F.col("_rest").cast("long")).cast("int")).withColumn("other", spread("_blocks")).withColumn("side", F.lit(LEFT))
     right = many.join(sizes, group).withColumn("block", spread("_rest")).withColumn("other", F.col("_mine")).withColumn("side", F.lit(RIGHT))
     pairs = left.unionByName(right).drop("_rest")
-    return first.union(staged(compare(together(pairs, group)), "second"))
+    return first.union(staged(compare(together(pairs, group, member)), "second"))
 
 
-def together(pairs: DataFrame, group: str) -> DataFrame:
-    """The rows of a block, or of a pair of blocks, in one task, next to each other."""
-    return pairs.repartition(group, "block", "other").sortWithinPartitions(group, "block", "other")
+def together(pairs: DataFrame, group: str, member: str) -> DataFrame:
+    """The rows of a block, or of a pair of blocks, in one task, next to each other, in the order of ``member``."""
+    return pairs.repartition(group, "block", "other").sortWithinPartitions(group, "block", "other", member)
 
 
 def crossing(side: np.ndarray) -> np.ndarray:

@@ -15,14 +15,14 @@
     links; sums and components of those are the result.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing, and so do vectors whose length is not the
-commonest one (the longest of several); a row that repeats a vec_id is a vector
-of its own; an empty table gives an empty result; extra columns are ignored.
+components link with nothing; vectors of different lengths do not link, and those
+of each length are joined on their own; a row that repeats a vec_id is a vector of its own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from galenic.llm.common import named_components, ranked, runs, staged
 
 #: Dimensions whose cells order the sequence, and whose boxes decide which blocks meet.
-CELLS, BOX = 4, 8
+CELLS, BOX = 16, 24
 #: Vectors the rotation is fitted on, vectors of a block (at least, at most), of an interval that is compared.
 FITTED, SMALL_BLOCK, LARGE_BLOCK, LEAF = 5000, 256, 8192, 256
 #: No single-precision product of unit vectors is off by as much.
@@ -72,7 +72,7 @@ def rotation(classes: DataFrame) -> np.ndarray:
     """Principal directions of a sample of ``FITTED`` classes, the widest first."""
     rows = classes.select("cls", "raw").orderBy(F.xxhash64("cls"), "cls").limit(FITTED).collect()
     x = unit(np.array([np.frombuffer(r["raw"], dtype=np.float64) for r in rows]))
-    values, directions = np.linalg.eigh(np.cov(x, rowvar=False) if len(x) > 1 else np.eye(x.shape[1]))
+    values, directions = np.linalg.eigh(np.atleast_2d(np.cov(x, rowvar=False)) if len(x) > 1 else np.eye(x.shape[1]))
     return directions[:, np.argsort(-values)]
 
 
@@ -195,34 +195,39 @@ def joined(dealt: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
     return dealt.select("lo", "hi", "block", "cls", "n", "raw").mapInArrow(run, "kind int, src bigint, dst bigint")
 
 
+def of_length(classes: DataFrame, size: int, cosine: float, epsilon: float) -> DataFrame:
+    """cls, n_links, component_id of the classes, all vectors of ``size`` components."""
+    turn, total = rotation(classes), classes.count()
+    cells = [f"c{k}" for k in range(min(CELLS, size))]
+    order = ranked(placed(classes, turn, epsilon), *cells, "y0", "cls")
+    width = max(SMALL_BLOCK, min(LARGE_BLOCK, -(-total // 16)))
+    order = staged(order.withColumn("block", F.expr(f"cast(rank div {width} as int)")), "sequence")
+    wide = [f"y{k}" for k in range(min(BOX, size))]
+    boxes = staged(order.groupBy("block").agg(*(f(c).alias(f"{e}_{c}") for c in ["c0", *wide] for e, f in (("lo", F.min), ("hi", F.max)))), "boxes")
+    pairs = staged(block_pairs(boxes, epsilon), "pairs")
+    sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at"))
+    dealt = order.join(sides, F.col("block") == F.col("at")).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "block", "rank")
+    found = staged(joined(dealt, turn, cosine), "found")
+    sums = found.where("kind = 0").groupBy(F.col("src").alias("cls")).agg(F.sum("dst").alias("others"))
+    named = named_components(classes, found.where("kind = 1").select("src", "dst"))
+    known = classes.select("cls", "n").join(named, "cls").join(sums, "cls", "left")
+    return staged(known.select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "known")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: vectors of cosine
     ``cosine`` or more are linked; component_id is the smallest id reachable."""
     epsilon = float(np.sqrt(2 - 2 * cosine))
     rows = staged(hashed(vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))), "vectors")
-    sizes = rows.where("size is not null").groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    rows = rows.withColumn("cls", F.when(F.col("size") == size, F.col("cls")))
-    classes = staged(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw")), "classes")
-    plain = rows.select("id", "cls")
-    if not sizes:
+    classes = staged(rows.where("cls is not null").groupBy("size", "cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw")), "classes")
+    sizes = [r["size"] for r in classes.select("size").distinct().orderBy("size").collect()]  # a few lengths
+    parts = [of_length(classes.where(F.col("size") == size), size, cosine, epsilon).withColumn("size", F.lit(size)) for size in sizes]
+    plain = rows.select("id", "cls", "size")
+    if not parts:
         out = plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     else:
-        turn, total = rotation(classes), classes.count()
-        cells = [f"c{k}" for k in range(min(CELLS, size))]
-        order = ranked(placed(classes, turn, epsilon), *cells, "y0", "cls")
-        width = max(SMALL_BLOCK, min(LARGE_BLOCK, -(-total // 16)))
-        order = staged(order.withColumn("block", F.expr(f"cast(rank div {width} as int)")), "sequence")
-        wide = [f"y{k}" for k in range(min(BOX, size))]
-        boxes = staged(order.groupBy("block").agg(*(f(c).alias(f"{e}_{c}") for c in ["c0", *wide] for e, f in (("lo", F.min), ("hi", F.max)))), "boxes")
-        pairs = staged(block_pairs(boxes, epsilon), "pairs")
-        sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at"))
-        dealt = order.join(sides, F.col("block") == F.col("at")).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "block", "rank")
-        found = staged(joined(dealt, turn, cosine), "found")
-        sums = found.where("kind = 0").groupBy(F.col("src").alias("cls")).agg(F.sum("dst").alias("others"))
-        named = named_components(classes, found.where("kind = 1").select("src", "dst"))
-        known = staged(classes.select("cls", "n").join(named, "cls").join(sums, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "known")
-        out = plain.join(known, "cls", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        out = plain.join(reduce(DataFrame.union, parts), ["cls", "size"], "left")
+        out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

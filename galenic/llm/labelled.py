@@ -1,7 +1,8 @@
 """What the two text classifiers share: a bounded sample of labelled rows, and scoring in Arrow batches.
 
-A sample takes, of each class, up to a stated number of labelled documents
-outside the held-out fold, in the order of a hash of their id.  Nulls in the
+A sample takes, of each class, up to a stated number of labelled documents, and
+of characters in them, outside the held-out fold, in the order of a hash of
+their id; so what is trained on is bounded in rows and in bytes.  Nulls in the
 label leave a row unlabelled; a doc_id labelled twice counts with its larger
 label; labels of absent documents and documents without labels do no harm.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galenic.llm.common import crc_fold
@@ -20,13 +21,17 @@ from galenic.llm.common import crc_fold
 SLICE = 256
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, label of at most ``per_class`` labelled rows of either class."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars_per_class: int) -> DataFrame:
+    """doc_id, text, label of at most ``per_class`` labelled rows of either class,
+    whole texts, up to the one with which they reach ``chars_per_class`` characters."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label")).where(crc_fold(F.col("doc_id")) != 0)
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = [rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     ids = picked[0].union(picked[1])  # at most 2 * per_class rows
+    sizes = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ids = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < chars_per_class).select("doc_id", "label")
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 

@@ -1,18 +1,21 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
-A line goes when an equal line, or one within one edit (a character put in,
-left out or exchanged), stands earlier: in a smaller doc_id, or further up in
-the same document.  Lines are compared without blanks at their ends, and only
-from ``min_chars`` characters on; shorter ones stay.
-
-1.  Lines are split into threshold + 1 = 2 segments, by positions that depend on
-    the length.  Of two lines within one edit one segment is equal, at the
-    start or at the end; so each line is posted under either segment with its
-    own length, and probes the index of lines one character shorter.
+A line goes when an equal line, or one within ``edits`` edits (a character put
+in, left out or exchanged; one, unless asked otherwise), stands earlier: in a
+smaller doc_id, or further up in the same document.  Lines are compared without
+blanks at their ends, and only from ``min_chars`` characters on; shorter ones stay.
+
+1.  Lines are split into edits + 1 segments, by positions that depend on the
+    length.  Of two lines within the threshold one segment of the shorter stands
+    in the longer, at most as far off as the edits before and after it allow.
+    So each line is posted under its segments with its own length, and probes
+    the indexes of its own and up to ``edits`` smaller lengths.
 2.  Postings that meet no other line are left out; what remains is few, and its
     texts are fetched.  Bitmaps of a fixed size keep the rest from the shuffle.
-3.  Where many lines share a segment, the other segment is split again (and
-    again): the lines must agree on all but one of 4, 8 and 16 segments.
+3.  Where many lines share a segment, what is left of them without it is
+    split in the same way, again and again, until few share all of it or no more
+    characters are left than edits are allowed: such lines of one length are
+    within the threshold of each other, and each is held against the earliest.
 4.  Pairs that meet are verified by banded bit-parallel edit distance: one bit
     for each diagonal of the band, one word for each number of edits.
 
@@ -20,8 +23,10 @@ Equal lines are one class throughout, so a very common line is one posting.
 
 Edge cases: a null text stays null; an empty text stays empty; every other
 text keeps the lines that stay, in order; a document may end up empty; rows
-that repeat a doc_id lose the same lines; an empty table gives an empty result;
-other columns are kept, n_chars is recomputed where it exists.
+that repeat a doc_id are judged by their own texts (in the order of a hash of
+them), and rows that repeat doc_id and text lose the same lines; lines of a row
+without a doc_id count as the earliest; an empty table gives an empty result;
+other columns, whatever their names, are kept, and n_chars is recomputed where it exists.
 """
 
 from __future__ import annotations
@@ -59,24 +64,39 @@ def trimmed(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, at, line (trimmed), h1, h2, size of every line long enough."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """doc_id, mark (a hash of the text), at, line (trimmed), h1, h2, size of every line long enough."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     each = each.withColumn("line", trimmed(F.col("line")))
     each = each.withColumn("size", F.length("line")).where(F.col("size") >= min_chars)
-    return each.select("doc_id", "at", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return each.select("doc_id", "mark", "at", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def key(line: Column, size: Column, segments: int, q: Column) -> Column:
-    """Of a line against the index of lines of ``size``: all but segment q of ``segments``."""
-    left = F.floor(size * q / segments).cast("int")
-    right = size - F.floor(size * (q + 1) / segments).cast("int")
-    return F.xxhash64(F.lit(segments), size, q, F.left(line, left), F.right(line, right))
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the indexed line is, segment, shift) of all that a line
+    asks for: a segment has moved by no more than the edits before it, nor the
+    rest behind it by more than those after it."""
+    return [
+        (delta, q, shift)
+        for delta in range(edits + 1)
+        for q in range(edits + 1)
+        for shift in range(max(-q, delta - (edits - q)), min(q, delta + (edits - q)) + 1)
+    ]
 
 
-def posted(each: DataFrame) -> DataFrame:
-    """h1, h2, base (length of the index), q, key: the postings and probes of lines."""
-    out = each.withColumn("base", F.explode(F.array("size", F.col("size") - EDITS))).withColumn("q", F.explode(F.array(F.lit(0), F.lit(1))))
-    return out.select("h1", "h2", (F.col("base") == F.col("size")).alias("own"), "base", "q", key(F.col("line"), F.col("base"), 2, F.col("q")).alias("key"))
+def posted(rows: DataFrame, edits: int, text: str, within: str, deeper: bool) -> DataFrame:
+    """``rows`` with own (an index entry, or else a probe), base (length of the index), start and wide of a segment of ``text``, and key.
+
+    ``within`` names what the lines share already.  ``deeper``, rows have own and delta, and go on as what they are.
+    """
+    found = ", ".join(f"named_struct('delta', {d}, 'q', {q}, 'shift', {s}, 'own', {str(not d and not s).lower()})" for d, q, s in probes(edits))
+    if deeper:
+        out = rows.withColumn("_p", F.expr(f"explode(filter(array({found}), p -> p.delta = delta))")).withColumn("own", F.expr("own and _p.own"))
+    else:
+        out = rows.withColumn("_p", F.expr(f"explode(array({found}))")).withColumn("own", F.col("_p.own"))
+    out = out.withColumns({"delta": F.col("_p.delta"), "base": F.expr(f"length({text}) - _p.delta")})
+    out = out.withColumn("start", F.expr(f"cast(base * _p.q div {edits + 1} as int)")).withColumn("wide", F.expr(f"cast(base * (_p.q + 1) div {edits + 1} as int) - start"))
+    out = out.withColumn("start", F.expr("start + _p.shift")).where(f"base > {edits} and start >= 0 and start + wide <= length({text})")
+    return out.withColumn("key", F.expr(f"xxhash64({within}, base, _p.q, substring({text}, start + 1, wide))")).drop("_p")
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -123,59 +143,86 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(True)).otherwise(near)
 
 
-def meeting(found: DataFrame, texts: DataFrame) -> DataFrame:
+def meeting(found: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """a1, a2, b1, b2: pairs of lines that meet in a posting, hot postings split on."""
-    ids, parts, segments = ["h1", "h2"], [], 2
+    parts, deep = [], False
     while True:
-        counts = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-        dealt = staged(found.join(counts, "key"), "met")
-        last = segments >= 16
-        cold = dealt if last else dealt.where(F.col("n") <= HOT)
+        counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key", "n")
+        dealt = staged(found.join(staged(counts, "counts"), "key"), "met")
+        cold = dealt.where(F.col("n") <= HOT)
         a = cold.where("own").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
         b = cold.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "own")
         pairs = a.join(b, "key").where("(a1 <> b1 or a2 <> b2) and (not own or a1 < b1 or (a1 = b1 and a2 < b2))")
         parts.append(pairs.select("a1", "a2", "b1", "b2"))
-        hot = dealt.where(F.col("n") > HOT).select(*ids, "own", "base", "q").distinct()
-        if last or hot.isEmpty():
+        hot = dealt.where(F.col("n") > HOT).drop("n")
+        if hot.isEmpty():
             break
-        segments *= 2
-        split = hot.join(texts, ids).withColumn("q", F.explode(F.array(F.col("q") * 2, F.col("q") * 2 + 1)))
-        found = staged(split.select(*ids, "own", "base", "q", key(F.col("line"), F.col("base"), segments, F.col("q")).alias("key")), "split")
+        if not deep:
+            hot = hot.join(texts.select("h1", "h2", "first", F.col("line").alias("rest")), ["h1", "h2"])
+            deep = True
+        hot = hot.withColumn("rest", F.expr("concat(left(rest, start), substring(rest, start + wide + 1))")).withColumn("base", F.col("base") - F.col("wide"))
+        hot = staged(hot.select("h1", "h2", "first", "key", "own", "delta", "base", "rest").distinct(), "hot")
+        ended = hot.where(F.col("base") <= edits)
+        parts.append(alike(ended).unionByName(inserted(ended, edits)))
+        more = hot.where(F.col("base") > edits).withColumnRenamed("key", "parent").drop("base")
+        found = staged(posted(more, edits, "rest", "parent", True).drop("parent"), "split")
     return reduce(DataFrame.union, parts).distinct()
 
 
-def repeated(each: DataFrame) -> DataFrame:
-    """h1, h2 of the lines (of ``lines_of``, written) that stand within an edit of an earlier other line."""
-    rows = posted(each)
+def alike(ended: DataFrame) -> DataFrame:
+    """Lines of one posting that differ in ``edits`` characters at most: each with the earliest."""
+    own = ended.where("own").select("key", "h1", "h2", "first")
+    top = own.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("top"))
+    return own.join(top, "key").where("h1 <> top.h1 or h2 <> top.h2").select(F.col("top.h1").alias("a1"), F.col("top.h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+
+
+def inserted(ended: DataFrame, edits: int) -> DataFrame:
+    """Index entries and probes of one posting with no more characters left than
+    edits.  With one edit the character left over must be one of the probe's two,
+    which makes the pairs exact; with more all that meet are pairs."""
+    one = "array(rest)" if edits == 1 else "array('')"
+    two = "array_distinct(split(rest, ''))" if edits == 1 else "array('')"
+    a = ended.where("own").select("key", F.explode(F.expr(one)).alias("left"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    b = ended.where("not own").select("key", F.explode(F.expr(two)).alias("left"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    return a.join(b, ["key", "left"]).where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2")
+
+
+def repeated(each: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h1, h2 of the lines (of ``lines_of``, written) that stand within ``edits`` edits of an earlier other line."""
+    rows = posted(each.select("h1", "h2", "line"), edits, "line", "0", False).drop("line")
     shared = staged(rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select(F.col("key").alias("_key")), "shared")
     found = among(rows, "key", bitmap(shared, "_key")).distinct().join(shared, F.col("key") == F.col("_key"), "left_semi")
     found = staged(found, "postings")
-    texts = among(each, "h1", bitmap(found, "h1")).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("line").alias("line"))
+    texts = among(each, "h1", bitmap(found, "h1")).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"), F.first("line").alias("line"))
     texts = staged(texts, "texts")
-    pairs = meeting(found, texts)
+    pairs = meeting(found, texts, edits)
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
-    near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(within(F.col("a_line"), F.col("b_line")))
+    near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(within(F.col("a_line"), F.col("b_line"), edits))
     later = F.col("a_first") > F.col("b_first")
     return near.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
 
 
-def cleaned(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def cleaned(docs: DataFrame, min_chars: int = 20, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs`` with the lines that stay; n_lines and n_dropped besides."""
     lines = staged(lines_of(docs, min_chars), "lines")
-    dropped = staged(repeated(lines), "dropped")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    stay = firsts.join(dropped, ["h1", "h2"], "left_anti").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list("first.at").alias("_stay"))
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left")
-    each = F.split("text", "\n")
-    stays = F.coalesce("_stay", F.expr("cast(array() as array<int>)"))
-    kept = F.filter(each, lambda line, i: F.array_contains(stays, i) | (F.length(trimmed(line)) < min_chars))
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(each), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.array_join("_kept", "\n"))
+    dropped = staged(repeated(lines, edits), "dropped")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"))
+    stay = firsts.join(dropped, ["h1", "h2"], "left_anti").groupBy(F.struct("first.doc_id", "first.mark").alias("k")).agg(F.collect_list("first.at").alias("stay"))
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("k"), F.struct(*docs.columns).alias("row"))
+    out = rows.alias("r").join(stay.alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")), "left").select("row", "stay")
+    # the numbers of the lines that stay, sorted, and each looked up by its number: no search for each line
+    out = out.withColumn("each", F.split("row.text", "\n"))
+    short = F.filter(F.transform("each", lambda line, i: F.when(F.length(trimmed(line)) < min_chars, i)), lambda i: i.isNotNull())
+    out = out.withColumn("stay", F.array_sort(F.concat(short, F.coalesce("stay", F.expr("cast(array() as array<int>)")))))
+    out = out.withColumn("kept", F.transform("stay", lambda i: F.get("each", i)))
+    text = F.array_join("kept", "\n")
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    lost = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("each") - F.size("kept"))
+    columns = [changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return out.select(*columns, F.coalesce(F.size("each"), F.lit(0)).cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"))
 
 
 SQL = r"""

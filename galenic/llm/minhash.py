@@ -170,11 +170,12 @@ def candidates(posted: DataFrame, classes: DataFrame, t: int) -> DataFrame:
                 cls = group.column("cls").to_numpy()
                 signs = group.combine_chunks().column("sig").chunk(0).flatten().to_numpy().reshape(-1, K)
                 found = collisions(signs, t) & crossing(group.column("side").to_numpy())
-                new = [(int(cls[i]), int(cls[j])) for i, j in spanning(found) if known.new(int(cls[i]), int(cls[j]))]
+                several = group.column("_blocks")[0].as_py() > 1
+                new = [(int(cls[i]), int(cls[j])) for i, j in spanning(found) if several or known.new(int(cls[i]), int(cls[j]))]
                 if new:
                     yield pa.RecordBatch.from_pydict({"src": pa.array([a for a, _ in new], pa.int64()), "dst": pa.array([b for _, b in new], pa.int64())})
 
-        return dealt.select("value", "block", "other", "side", "cls", "sig").mapInArrow(run, "src bigint, dst bigint")
+        return dealt.select("value", "block", "other", "side", "_blocks", "cls", "sig").mapInArrow(run, "src bigint, dst bigint")
 
     dealt = blocked(posted, "value", "cls", LIST_ROWS).join(classes.select("cls", "sig"), "cls")
     return linked(staged(dealt, "lists"), "value", "cls", LIST_ROWS, compare)

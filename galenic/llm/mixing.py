@@ -63,9 +63,12 @@ def systematic(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    marked: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each row of ``docs``."""
-    base = docs.select("doc_id", source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"))
+    """doc_id, size, source_size, target, copies, taken for each row of ``docs``; with ``marked`` source and a hash of the text as well."""
+    own = ["source", "mark"] if marked else []
+    marks = [F.xxhash64("text").alias("mark")] if marked else []
+    base = docs.select("doc_id", *own[:1], source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"), *marks)
     base = staged(base.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
     digits = max(1, min(8, math.ceil(math.log(max(1, base.count() / CELL_ROWS), 16))))
     base = base.withColumn("cell", F.substring("hash", 1, digits))
@@ -85,15 +88,19 @@ def systematic(
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = F.col("start") + F.col("rank")
     placed = placed.withColumn("copies", F.floor(at * expected + offset) - F.floor((at - 1) * expected + offset))
-    return placed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.select("doc_id", *own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken. Rows that
-    share a doc_id count as one document, taken as often as its first place says."""
-    copies = systematic(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("d.*")
+    """The mix itself: each row of ``docs`` as often as it is taken.  Rows of one
+    doc_id, source and text share what their places are given: the first of them
+    comes as often as all are taken together."""
+    key = F.struct("doc_id", "source", F.xxhash64("text").alias("mark"))
+    placed = systematic(docs.select("doc_id", "source", "text"), **options, marked=True)
+    copies = placed.groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    copies = copies.select(F.struct("doc_id", "source", "mark").alias("k"), "copies")
+    out = docs.select(key.alias("k"), F.struct(*docs.columns).alias("row")).dropDuplicates(["k"]).alias("d").join(copies.alias("c"), F.col("d.k").eqNullSafe(F.col("c.k")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 SQL = r"""

@@ -1,21 +1,23 @@
 """Quality classifier: how much better a text compresses with a dictionary of good text than of bad text.
 
-Two zstandard dictionaries are built from windows of labelled good and bad
-texts.  A whole text is cut into blocks, each compressed with either
-dictionary.  The difference of the summed sizes, normalised by their sum, is
-the raw measure; next to it stands the smaller size normalised by the text's
-own (text that repeats itself shrinks to nothing with any dictionary).  A
-logistic curve fitted on other labelled rows makes them a probability.
+Two zstandard dictionaries are built from labelled good and bad texts.  A whole
+text is cut into blocks, each compressed with either dictionary.  The difference
+of the summed sizes, normalised by their sum, is the measure.  Beside it stand
+the measure weighed by the length of the text (a short text tells less) and, as
+an addition to the method, the smaller size normalised by the text's own, with
+its square: text that repeats itself shrinks to nothing with any dictionary.  A
+logistic curve fitted on other labelled rows makes them a probability; the
+README says how much of it the addition carries.
 
 Edge cases: a null or empty text measures 0 and gets the curve's value there;
 without labelled rows of both classes every score is 1 (nothing is rejected);
-an empty table gives an empty result; extra columns are ignored.
+ids may be of any type; rows that repeat a doc_id are scored by their own
+texts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from galenic.llm import labelled
 
-BLOCK = 4096
-WINDOW = 1024
+#: Bytes of a text that are compressed at once, and of a piece that dictionaries are trained on.
+BLOCK, PIECE = 4096, 1024
 LEVEL = 3
 
 
@@ -65,6 +68,11 @@ def measures(text: str, pair: tuple[zstandard.ZstdCompressor, ...]) -> tuple[flo
     return diff, diff * min(1.0, (len(raw) / 1024) ** 0.5), left, left * left
 
 
+def pieces(raw: bytes) -> list[bytes]:
+    """A whole text in the pieces that a dictionary is trained on."""
+    return [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+
+
 def dictionary(windows: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little text to train, the text itself."""
     try:
@@ -73,24 +81,14 @@ def dictionary(windows: list[bytes], size: int) -> bytes:
         return b"".join(windows)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, dictionary_bytes: int = 65536) -> Model:
-    """Dictionaries from half of a sample of at most ``per_class`` rows of each
-    class, the curve from the other half.  The driver gets one window of
-    ``WINDOW`` bytes or two numbers for each sampled row."""
-    rows = labelled.sample(docs, labels, label, per_class)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, pick = (text or "").encode("utf-8", "replace"), zlib.crc32(str(doc_id).encode())
-                if pick % 2 and raw:
-                    at = (pick >> 1) % max(1, len(raw) - WINDOW + 1)
-                    kept.append((doc_id, mark, raw[at : at + WINDOW]))
-            yield pa.RecordBatch.from_pydict({"doc_id": [k[0] for k in kept], "label": pa.array([k[1] for k in kept], pa.int32()), "part": pa.array([k[2] for k in kept], pa.binary())})
-
-    found = rows.select("doc_id", "text", "label").mapInArrow(windows, "doc_id bigint, label int, part binary").toPandas().sort_values("doc_id")
-    parts = [[bytes(x) for x in found["part"][found["label"] == k]] for k in (1, 0)]
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, chars_per_class: int = 16_000_000, dictionary_bytes: int = 65536) -> Model:
+    """Dictionaries from half of a sample of at most ``per_class`` rows and about
+    ``chars_per_class`` characters of each class, the curve from the other half.
+    The driver gets the whole texts of the one half and two numbers for each row of the other."""
+    rows = labelled.sample(docs, labels, label, per_class, chars_per_class)
+    pick = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    texts = rows.where(pick == 1).select(F.col("doc_id").cast("string").alias("id"), "label", "text").where("text <> ''").toPandas().sort_values(["id", "text"])
+    parts = [[piece for t in texts["text"][texts["label"] == k] for piece in pieces(t.encode("utf-8", "replace"))] for k in (1, 0)]
     if not all(parts):
         return Model(b"", b"")
     model = Model(*(dictionary(p, dictionary_bytes) for p in parts))
@@ -98,10 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(model)
         for batch in batches:
-            kept = [(mark, *measures(text or "", pair)) for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if not zlib.crc32(str(doc_id).encode()) % 2]
+            kept = [(mark, *measures(text or "", pair)) for text, mark in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"label": pa.array([k[0] for k in kept], pa.int32()), "x": pa.array([list(k[1:]) for k in kept], pa.list_(pa.float64()))})
 
-    points = rows.select("doc_id", "text", "label").mapInArrow(numbers, "label int, x array<double>").toPandas()
+    points = rows.where(pick == 0).select("text", "label").mapInArrow(numbers, "label int, x array<double>").toPandas()
     x = np.array([list(v) for v in points["x"]]).reshape(len(points), -1)
     order = np.lexsort([*x.T, points["label"].to_numpy()])
     return Model(model.good, model.bad, logistic(x[order], points["label"].to_numpy()[order]))

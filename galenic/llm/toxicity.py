@@ -87,14 +87,15 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     per_class: int = 4000,
+    chars_per_class: int = 16_000_000,
     epochs: int = 4,
     alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 4.0,
     l2: float = 0.1,
 ) -> Model:
-    """Weights from at most ``per_class`` labelled rows of each class, trained in one task."""
-    rows = labelled.sample(docs, labels, label, per_class)
+    """Weights from at most ``per_class`` labelled rows, and about ``chars_per_class`` characters of them, of each class, trained in one task."""
+    rows = labelled.sample(docs, labels, label, per_class, chars_per_class)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()

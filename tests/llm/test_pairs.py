@@ -38,9 +38,11 @@ def test_ranked(spark):
 
 
 def brute_vectors(vectors, cosine=0.95):
-    usable = [i for i, v in enumerate(vectors) if v and len(v) == 6 and None not in v and np.isfinite(v).all() and np.any(v)]
+    usable = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.any(v)]
     links = []
     for a, b in itertools.combinations(usable, 2):
+        if len(vectors[a]) != len(vectors[b]):
+            continue
         x, y = np.array(vectors[a], dtype=float), np.array(vectors[b], dtype=float)
         if x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine:
             links.append((a, b))
@@ -58,7 +60,7 @@ def test_vectors(spark, monkeypatch, seed):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, 6))
     vectors = [(base[i % 40] * (1 + i) + rng.normal(size=6) * 0.1 * (i % 3) * (1 + i)).astype("float32").tolist() for i in range(150)]
-    vectors += [vectors[0]] * 5 + [None, [], [0.0] * 6, [float("nan")] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [float("inf")] * 6]
+    vectors += [vectors[0]] * 5 + [None, [], [0.0] * 6, [float("nan")] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [2.0, 4.0], [1.0, 2.1], [5.0], [-1.0], [3.0], [float("inf")] * 6]
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("cls", F.lit(1))
     got = sorted(tuple(r) for r in embeddings.near_duplicates(df).collect())
     n, low = brute_vectors(vectors)
@@ -180,14 +182,14 @@ def test_within(spark, edits):
     assert got == [edit(a, b) <= edits for a, b in pairs]
 
 
-def brute_lines(texts, least):
+def brute_lines(texts, least, edits=1):
     first = {}
     for d, t in enumerate(texts):
         for p, l in enumerate((t or "").split("\n")):
             l = l.strip(" \t\n\r\x0b\x0c")
             if len(l) >= least:
                 first.setdefault(l, (d, p))
-    dropped = {(a if first[a] > first[b] else b) for a, b in itertools.combinations(first, 2) if abs(len(a) - len(b)) <= 1 and edit(a, b) <= 1}
+    dropped = {(a if first[a] > first[b] else b) for a, b in itertools.combinations(first, 2) if abs(len(a) - len(b)) <= edits and edit(a, b) <= edits}
     out = []
     for d, t in enumerate(texts):
         if t is None:
@@ -202,8 +204,8 @@ def brute_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("hot", (2, 32))
-def test_lines(docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "edits"), ((2, 1), (32, 1), (2, 2)))
+def test_lines(docs, monkeypatch, hot, edits):
     monkeypatch.setattr(lines, "HOT", hot)
     rng = random.Random(hot)
     base = ["".join(rng.choice("abcdefg ") for _ in range(rng.randrange(18, 40))) for _ in range(15)] + ["Visitor number 10000000 today"]
@@ -217,11 +219,29 @@ def test_lines(docs, monkeypatch, hot):
                 l[at : at + rng.randrange(2)] = rng.choice(["", "z", "7"])
             own.append(" " * rng.randrange(2) + "".join(l))
         texts.append("\n".join(own))
-    rows = {r["doc_id"]: r for r in lines.cleaned(docs(texts, at=1, line="clash", h1=3)).collect()}
-    want = brute_lines(texts, 20)
+    rows = {r["doc_id"]: r for r in lines.cleaned(docs(texts, at=1, line="clash", h1=3, _id=1, _stay=2, row=3, k=4), edits=edits).collect()}
+    want = brute_lines(texts, 20, edits)
     assert [rows[i]["text"] for i in range(len(texts))] == want
     assert all(rows[i]["n_chars"] == (None if w is None else len(w)) for i, w in enumerate(want))
 
 
+def test_lines_with_a_counter(docs):
+    """Long lines that differ in a counter: postings are split until pairs grow with the lines, not with their square."""
+    for n in (300, 1200):
+        texts = [f"{'common words before it ' * 12}{i:06d}{' and the same words after' * 12}" for i in range(n)]
+        each = common.staged(lines.lines_of(docs(texts), 20))
+        rows = lines.posted(each.select("h1", "h2", "line"), 1, "line", "0", False).drop("line")
+        firsts = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"), F.first("line").alias("line"))
+        assert lines.meeting(rows.distinct(), firsts, 1).count() < 60 * n
+
+
+def test_lines_of_repeated_ids(docs):
+    a, b = "one long line that stands here", "another long line that stands there"
+    texts = [a, f"{a}\n{b}", b, b, None]
+    rows = lines.cleaned(docs(texts, ids=[1, 2, 2, 2, None])).collect()
+    assert len(rows) == 5 and sum((r["text"] or "").count(a) for r in rows) == 1
+    assert {r["text"] for r in rows if r["doc_id"] == 2} <= {"", b, f"{b}"}
+
+
 def test_lines_empty(docs):
     assert lines.cleaned(docs([])).count() == 0
