@@ -37,7 +37,7 @@ from galenic.llm.common import SPACE
 #: Words of a run of ``anchors``.
 RUN = 5
 #: Code points of a text from which on a level holds, and of its runs and inner runs.
-LEVELS = ((64, 16, 4), (24, 8, 3), (0, 2, 1))
+LEVELS = ((96, 20, 4), (24, 8, 3), (0, 2, 1))
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 
