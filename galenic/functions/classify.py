@@ -44,7 +44,8 @@ def region_of_text(text: Column) -> Column:
     def rule(words: tuple[str, ...]) -> Column:
         whole = [w for w in words if " " not in w]
         tests = [F.contains(lowered, F.lit(w)) for w in words if " " in w]
-        return reduce(lambda a, b: a | b, [*tests, lowered.rlike(f"{BEFORE}({'|'.join(whole)}){AFTER}")])
+        # a plain search first: most texts hold none of the words, and need no regular expression
+        return reduce(lambda a, b: a | b, [*tests, holds_any(lowered, whole) & lowered.rlike(f"{BEFORE}({'|'.join(whole)}){AFTER}")])
 
     return first_match((region, rule(words)) for region, words in REGION_RULES)
 
