@@ -6,6 +6,7 @@ An empty or null parameter switches a filter off.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,5 +124,21 @@ def sorted_by_name(df: DataFrame) -> DataFrame:
     return df.orderBy(F.lower("name"), "ord")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder; to a folder of this machine where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def numbered_by_name(df: DataFrame, name: str, key: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.lower(name), key)).cast("long"))
+    """position, from 1, by lower-case name and then ``key``: dealt out by range,
+    counted by range and numbered within, so that no task sorts everything."""
+    order = [F.lower(name), F.col(key)]
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    found = dealt.withColumn("_row", inside).join(F.broadcast(starts), "_part")
+    return found.withColumn("position", F.col("_start") + F.col("_row")).select(*df.columns, "position")

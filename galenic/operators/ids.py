@@ -3,7 +3,9 @@
 Of rows with the same base, the first keeps it.  The others lengthen it, one
 part at a time (catalogue id, structure key, number among equals), until it is
 free.  Each length is one window.  Where ids of different lengths meet, or a
-chain ends, rows of the bases concerned go through an exact pass.
+chain ends, rows of the bases concerned go through an exact pass.  An id can only
+meet one of another base if one base begins the other at a hyphen; such bases are
+one family, and families go through the pass apart from each other.
 """
 
 from __future__ import annotations
@@ -29,11 +31,25 @@ def chained(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -
     return df.drop("_chain", "_c")
 
 
+def families(df: DataFrame, base: str) -> DataFrame:
+    """base, _family: the shortest of its own beginnings (cut at hyphens) that is a base as well."""
+    known = df.select(base).where(F.col(base).isNotNull()).distinct()
+    pieces = F.split(base, "-")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), "-"))
+    each = known.select(base, F.explode(cuts).alias("_cut"))
+    return each.join(known.select(F.col(base).alias("_cut")), "_cut").groupBy(base).agg(F.min_by("_cut", F.length("_cut")).alias("_family"))
+
+
 def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -> DataFrame:
-    """``df`` with unique_id, exact in every case."""
+    """``df`` with unique_id, exact in every case; null where the base is null.
+
+    Rows that share ``order`` follow each other by base and parts.
+    """
     cut = {f"part{i}__": F.lower(empty_as_null(p)) for i, p in enumerate(parts)}
-    quick = chained(df, base, parts, order).drop("n")
-    bad = quick.where("unique_id is null").limit(1).union(quick.groupBy("unique_id").count().where("count > 1").limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in quick.schema]))
+    quick = chained(df, base, parts, order).drop("n").withColumn("unique_id", F.when(F.col(base).isNotNull(), F.col("unique_id")))
+    ended = quick.where(F.col("unique_id").isNull() & F.col(base).isNotNull()).select(base)
+    met = quick.groupBy("unique_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_set(base).alias("_bases")).where("_n > 1 and unique_id is not null")
+    bad = ended.union(met.select(F.explode("_bases"))).distinct()
     if bad.isEmpty():
         return quick
     names = list(cut)
@@ -42,7 +58,7 @@ def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord"
         used: set[str] = set()
         seen: dict[str, int] = {}
         out = []
-        for row in rows.sort_values(order).itertuples(index=False):
+        for row in rows.sort_values([order, "_again"]).itertuples(index=False):
             name = getattr(row, base)
             seen[name] = seen.get(name, 0) + 1
             free = name
@@ -54,11 +70,17 @@ def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord"
             while free in used:
                 free = f"{free}-{seen[name]}"
             used.add(free)
-            out.append((getattr(row, order), free))
-        return pd.DataFrame(out, columns=["_ord", "unique_id"])
+            out.append((getattr(row, order), row[-1], free))
+        return pd.DataFrame(out, columns=["_ord", "_nth", "_walked"])
 
-    small = df.select(order, base, *(c.alias(k) for k, c in cut.items())).withColumn("_all", F.lit(1))
+    again = F.row_number().over(Window.partitionBy(order).orderBy(base, *cut.values()))
+    quick = quick.withColumn("_again", again)
+    family = families(df, base)
+    concerned = family.join(family.join(bad, base).select("_family").distinct(), "_family", "left_semi")
+    small = quick.select(order, base, *(c.alias(k) for k, c in cut.items()), "_again").join(concerned, base)
+    small = small.select("_family", order, base, *names, "_again")
     kind = df.schema[order].dataType.simpleString()
-    # ids depend on all ids before them: one ordered pass over three short columns
-    named = small.groupBy("_all").applyInPandas(walk, f"_ord {kind}, unique_id string")
-    return df.join(named, F.col(order) == F.col("_ord")).drop("_ord")
+    # an id depends on those before it in its family: an ordered pass over short columns for each
+    named = small.groupBy("_family").applyInPandas(walk, f"_ord {kind}, _nth int, _walked string")
+    found = quick.join(named, (F.col(order) == F.col("_ord")) & (F.col("_again") == F.col("_nth")), "left")
+    return found.withColumn("unique_id", F.coalesce("_walked", "unique_id")).drop("_ord", "_nth", "_walked", "_again")

@@ -159,11 +159,9 @@ def combined_filter(spark, sf_dir):
     return filters.search_haystack(m, "a", filters.haystack(F.col("name"), F.col("class"))).select(*SHOWN)
 
 
-@query(MEDICINES + "SELECT ord, name, class, atc_category FROM m WHERE name = (SELECT name FROM m WHERE ord = 7) ORDER BY ord LIMIT 1")
+@query(MEDICINES + "SELECT ord, name, class, atc_category FROM m WHERE company = 'Brand#13' ORDER BY ord LIMIT 1")
 def point_lookup(spark, sf_dir):
-    m = medicines(spark, sf_dir)
-    wanted = m.where("ord = 7").select(F.col("name").alias("wanted"))
-    return filters.lookup(m.join(F.broadcast(wanted), F.col("name") == F.col("wanted"), "left_semi").withColumn("one", F.lit(1)), "one", 1).select(*SHOWN)
+    return filters.lookup(medicines(spark, sf_dir), "company", "Brand#13").select(*SHOWN)
 
 
 @query(MEDICINES + "SELECT ord, name, count(*) OVER () AS total FROM m WHERE atc_category = 'M' ORDER BY ord LIMIT 25 OFFSET 50")
@@ -255,13 +253,14 @@ def clean_names(spark, sf_dir):
     return every.select("k", text.clean_name(F.col("name")).alias("cleaned"))
 
 
-_WORDS = "string_split(p_name || ' ' || p_type || ' ' || upper(p_name) || '  ' || p_brand, ' ')"
-
-
-@query(f"SELECT p_partkey, array_to_string(list_filter(w, lambda e, i: list_position(list_transform(w, lambda z: lower(z)), lower(e)) = i), '|') AS words FROM (SELECT p_partkey, list_filter({_WORDS}, lambda e: e <> '') AS w FROM part)")
+@query(
+    """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+    f AS (SELECT doc_id, min(i) AS i, arg_min(w, i) AS w FROM w WHERE w <> '' GROUP BY doc_id, lower(w))
+    SELECT doc_id, coalesce(n, 0) AS n, sha256(coalesce(words, '')) AS words_sha FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(w, '|' ORDER BY i) AS words FROM f GROUP BY 1) USING (doc_id)"""
+)
 def dedupe_tokens(spark, sf_dir):
-    names = F.concat_ws(" ", "p_name", "p_type", F.upper("p_name"), F.lit(""), "p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", joined(arrays.dedupe_caseless(F.split(names, " "))).alias("words"))
+    d = table(spark, sf_dir, "documents").select("doc_id", arrays.dedupe_caseless(F.split("text", " ")).alias("l"))
+    return d.select("doc_id", F.size("l").cast("long").alias("n"), F.sha2(joined(F.col("l")).cast("binary"), 256).alias("words_sha"))
 
 
 EDGE_CODES = [(-1, "A10BA02; N02BE01"), (-2, "a10ba02"), (-3, "Adopted 1987, 2003"), (-4, "in 20031 or x1999"), (-5, "")]
@@ -273,13 +272,13 @@ def extract_codes(spark, sf_dir):
     return every.select("k", joined(text.codes(F.col("t"))).alias("codes"))
 
 
-_YEAR = "CAST(regexp_extract_all(t, '(?:^|[^0-9A-Za-z_])((19|20)[0-9]{{2}})(?:$|[^0-9A-Za-z_])', {0})[-1] AS INT)"
-EDGE_YEARS = [*EDGE_CODES, (-6, "approved 1999"), (-7, "1950 and 2010.")]
+_YEAR = r"CAST(regexp_extract_all(t, '\b((19|20)[0-9]{{2}})\b', {0})[-1] AS INT)"
+EDGE_YEARS = [*EDGE_CODES, (-6, "approved 1999"), (-7, "1950 and 2010."), (-8, "1950 2010 1999x")]
 
 
-@query(f"SELECT k, {_YEAR.format(2)} AS century, {_YEAR.format(1)} AS whole_year FROM {sql_values(EDGE_YEARS, 'k, t')}")
+@query(f"SELECT k, {_YEAR.format(2)} AS century, {_YEAR.format(1)} AS whole_year FROM (SELECT page_id AS k, html AS t FROM pages UNION ALL SELECT k, t FROM {sql_values(EDGE_YEARS, 'k, t')})")
 def extract_years(spark, sf_dir):
-    every = rows(spark, EDGE_YEARS, "k bigint, t string")
+    every = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.col("html").alias("t")).union(rows(spark, EDGE_YEARS, "k bigint, t string"))
     return every.select("k", text.year(F.col("t")).alias("century"), text.year(F.col("t"), whole=True).alias("whole_year"))
 
 
@@ -335,12 +334,21 @@ def generation_bucket(spark, sf_dir):
     return medicines(spark, sf_dir).select("ord", classify.generation(year).alias("generation"))
 
 
-EDGE_PHASES = [(1, "Phase I"), (2, "Phase II, Phase I"), (3, "Phase III,Phase I"), (4, "Phase IV"), (5, "Phase V"), (6, None), (7, "Phase II/III"), (8, "")]
+EDGE_PHASES = [(-1, "Phase I"), (-2, "Phase II, Phase I"), (-3, "Phase III,Phase I"), (-4, "Phase IV"), (-5, "Phase V"), (-6, None), (-7, "Phase II/III"), (-8, "")]
+#: Phases that users reached, by the kind of their events.
+EVENT_PHASES = {"view": "Phase I", "click": "Phase II", "purchase": "Phase III"}
+_REACHED = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{p}'" for e, p in EVENT_PHASES.items()) + " END"
 
 
-@query(f"SELECT k, CASE WHEN list_contains(l, 'Phase III') OR list_contains(l, 'Phase IV') THEN 'IV' WHEN list_contains(l, 'Phase II') THEN 'II' WHEN list_contains(l, 'Phase I') THEN 'I' ELSE 'IV' END AS phase FROM (SELECT k, list_transform(string_split(coalesce(t, ''), ','), lambda x: trim(x)) AS l FROM {sql_values(EDGE_PHASES, 'k, t')})")
+@query(
+    f"""WITH v AS (SELECT k, t FROM {sql_values(EDGE_PHASES, 'k, t')} UNION ALL SELECT user_id * 1000 + day(ts), string_agg(DISTINCT {_REACHED}, ', ') FROM events GROUP BY user_id, day(ts))
+    SELECT k, CASE WHEN list_contains(l, 'Phase III') OR list_contains(l, 'Phase IV') THEN 'IV' WHEN list_contains(l, 'Phase II') THEN 'II' WHEN list_contains(l, 'Phase I') THEN 'I' ELSE 'IV' END AS phase FROM (SELECT k, list_transform(string_split(coalesce(t, ''), ','), lambda x: trim(x)) AS l FROM v)"""
+)
 def phase_from_list(spark, sf_dir):
-    return rows(spark, EDGE_PHASES, "k int, t string").select("k", classify.phase(arrays.listed(F.col("t"))).alias("phase"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.collect_set(F.expr(_REACHED)).alias("l"))
+    each = e.select((F.col("user_id") * 1000 + F.col("day")).cast("long").alias("k"), F.array_join("l", ", ").alias("t"))
+    every = each.union(rows(spark, EDGE_PHASES, "k bigint, t string"))
+    return every.select("k", classify.phase(arrays.listed(F.col("t"))).alias("phase"))
 
 
 @query(f"SELECT doc_id, len(l) AS n, sha256(array_to_string(l, '|')) AS trials_sha FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: {sql_strip('x')}), lambda x: x <> '') AS l FROM documents)")
@@ -399,8 +407,15 @@ EDGE_TISSUES = [
 ]
 
 
+#: Of errors and views, the score of an event for the brain, and one for the liver.
+_TISSUE_SCORES = "CASE WHEN event_type IN ('error', 'view') THEN concat('{\"brain\": ', substr(props, 7, length(props) - 7), ', \"liver\": 50}') END"
+
+
 @query(
-    f"""WITH v AS (SELECT k, s, t, o, c, CASE WHEN json_valid(s) THEN s END AS j FROM {sql_values(EDGE_TISSUES, 'k, s, t, o, c')}),
+    f"""WITH u AS (SELECT k, s, t, o, c FROM {sql_values(EDGE_TISSUES, 'k, s, t, o, c')} UNION ALL
+      SELECT 1000 + event_id, {_TISSUE_SCORES}, CASE WHEN event_type = 'click' THEN 'unknown, skin, lung' END, NULL, upper(substr(event_type, 1, 1)) FROM events UNION ALL
+      SELECT -1 - doc_id, NULL, NULL, text, 'A' FROM documents),
+    v AS (SELECT k, s, t, o, c, CASE WHEN json_valid(s) THEN s END AS j FROM u),
     one AS (SELECT k, {sql_region('lower(key)')} AS region, greatest(0, CAST(j->>key AS DOUBLE)) AS score FROM (SELECT k, j, unnest(json_keys(j)) AS key FROM v WHERE j IS NOT NULL)),
     two AS (SELECT k, {sql_region('lower(trim(tissue))')} AS region, n - pos + 1 AS score FROM (SELECT k, unnest(string_split(t, ',')) AS tissue, generate_subscripts(string_split(t, ','), 1) AS pos, len(string_split(t, ',')) AS n FROM v WHERE t IS NOT NULL)),
     hit AS (SELECT 1 AS tier, k, region, max(score) AS score FROM one WHERE region IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 2, k, region, max(score) FROM two WHERE region IS NOT NULL GROUP BY 2, 3),
@@ -410,7 +425,11 @@ EDGE_TISSUES = [
     FROM v LEFT JOIN best a ON a.k = v.k AND a.tier = 1 LEFT JOIN best b ON b.k = v.k AND b.tier = 2"""
 )
 def body_regions_tiers(spark, sf_dir):
-    v = rows(spark, EDGE_TISSUES, "k int, s string, t string, o string, c string")
+    nothing = F.lit(None).cast("string")
+    tissues = F.when(F.col("event_type") == "click", "unknown, skin, lung")
+    e = table(spark, sf_dir, "events").select((1000 + F.col("event_id")).alias("k"), F.expr(_TISSUE_SCORES), tissues, nothing, F.upper(F.left("event_type", F.lit(1))))
+    d = table(spark, sf_dir, "documents").select(-1 - F.col("doc_id"), nothing, nothing, "text", F.lit("A"))
+    v = rows(spark, EDGE_TISSUES, "k bigint, s string, t string, o string, c string").union(e).union(d)
     return v.select("k", joined(regions.body_regions(F.col("s"), F.col("t"), F.col("o"), F.col("c"))).alias("regions"))
 
 
@@ -488,6 +507,13 @@ def field_groups(spark, sf_dir):
     return flatfile.fields(entries).select("entry_id", "field_no", "label", F.size("values").cast("long").alias("n"))
 
 
+#: Events as compounds: name, structure, structure key, weight and scores.
+_EVENT_FIELDS = (
+    "100 + event_id", "nullif(event_type, 'view')", "CASE WHEN event_id % 7 > 0 THEN 'C' END", "CASE WHEN event_id % 11 > 0 THEN 'K' END",
+    "CASE WHEN event_id % 13 = 0 THEN 'heavy' ELSE cast(event_id AS varchar(20)) END", "CASE WHEN event_id % 5 = 0 THEN '{\"liver\": \"x\"}' ELSE props END",
+)
+
+
 EDGE_REJECTS = [(1, "a", "C", "K", "12.5", "{}"), (2, None, "C", "K", None, None), (3, "a", None, "K", None, None), (4, "a", "C", None, None, None), (5, "a", "C", "K", "heavy", None), (6, "a", "C", "K", "1", "[1]"), (7, "a", "C", "K", "1", '{"liver": "x"}'), (8, "a", "C", "K", "1", '{"none": "x"}'), (9, "ä", "C", "K", "1", None)]
 
 
@@ -495,12 +521,13 @@ EDGE_REJECTS = [(1, "a", "C", "K", "12.5", "{}"), (2, None, "C", "K", None, None
     f"""SELECT k, CASE WHEN n IS NULL THEN 'no name' WHEN n = 'ä' THEN 'no id' WHEN c IS NULL THEN 'no structure' WHEN i IS NULL THEN 'no structure key'
       WHEN w IS NOT NULL AND try_cast(w AS DOUBLE) IS NULL THEN 'weight is no number'
       WHEN coalesce(json_valid(s) AND (json_type(s) <> 'OBJECT' OR (json_extract_string(s, 'liver') IS NOT NULL AND try_cast(json_extract_string(s, 'liver') AS DOUBLE) IS NULL)), false) THEN 'scores are unreadable' END AS reason
-    FROM {sql_values(EDGE_REJECTS, 'k, n, c, i, w, s')}"""
+    FROM (SELECT k, n, c, i, w, s FROM {sql_values(EDGE_REJECTS, 'k, n, c, i, w, s')} UNION ALL SELECT {", ".join(_EVENT_FIELDS)} FROM events)"""
 )
 def reject_reasons(spark, sf_dir):
     from galenic.plans.etl import reject_reason
 
-    v = rows(spark, EDGE_REJECTS, "k int, name string, canonical_smiles string, inchikey string, molecular_weight string, tissue_scores string")
+    v = rows(spark, EDGE_REJECTS, "k bigint, name string, canonical_smiles string, inchikey string, molecular_weight string, tissue_scores string")
+    v = v.union(table(spark, sf_dir, "events").selectExpr(*_EVENT_FIELDS))
     return reject_reason(v.withColumn("id", text.slug(F.col("name")))).select("k", "reason")
 
 
@@ -519,3 +546,55 @@ def bundle_round_trip(spark, sf_dir):
     value = tables.bundle_of(m, "round trip")
     bundle = value.select(F.from_json("value", tables.BUNDLE).alias("b")).select("b.*")
     return tables.drugs_of(bundle).select(F.col("id").cast("long").alias("ord"), "name", "atc_category", "molecular_weight")
+
+
+# -- records as readers see them, and the whole batch ----------------------------------
+
+_YEARS = "CASE WHEN ord % 50 = 0 THEN NULL WHEN ord % 51 = 0 THEN 0 ELSE year_approved END"
+
+
+@query(
+    MEDICINES
+    + f"""SELECT CAST(ord AS VARCHAR) AS id, name, CASE WHEN ord % 7 = 0 THEN 'V' ELSE atc_category END AS category, array_to_string(targets[1:2], ', ') AS targets,
+    CAST(CAST(floor(molecular_weight + 0.5) AS BIGINT) AS VARCHAR) AS weight, coalesce(CAST(nullif({_YEARS}, 0) AS VARCHAR), 'Unknown year') AS year, CASE WHEN ord % 3 = 0 THEN 'N/A' ELSE 'II' END AS phase FROM m"""
+)
+def cards(spark, sf_dir):
+    m = medicines(spark, sf_dir).withColumn("year_approved", F.expr(_YEARS)).withColumn("id", F.col("ord").cast("string"))
+    m = m.withColumn("atc_category", F.when(F.col("ord") % 7 != 0, F.col("atc_category"))).withColumn("phase", F.when(F.col("ord") % 3 == 0, "").otherwise("II"))
+    return present.card(m)
+
+
+@query(
+    MEDICINES
+    + f"""SELECT CAST(ord AS VARCHAR) AS id, name, 'N/A' AS code, printf('%.2f', molecular_weight) AS weight, 'IV' AS phase, coalesce(CAST(nullif({_YEARS}, 0) AS VARCHAR), 'N/A') AS year, indication,
+    array_to_string(targets, ', ') AS targets, company, 'N/A' AS synonyms, CASE WHEN ord % 3 = 0 THEN 'N/A' ELSE class END AS class, 'Generation ' || CASE WHEN ord % 5 = 0 THEN 1 ELSE ord % 5 END AS generation,
+    CASE WHEN length(repeat(name, 5)) > 50 THEN substr(repeat(name, 5), 1, 50) || '...' ELSE repeat(name, 5) END AS smiles FROM m"""
+)
+def details(spark, sf_dir):
+    m = medicines(spark, sf_dir).withColumn("year_approved", F.expr(_YEARS)).withColumn("id", F.col("ord").cast("string")).withColumn("smiles", F.repeat("name", F.lit(5)))
+    m = m.withColumns({"atc_code": F.lit(""), "phase": F.lit("IV"), "synonyms": F.expr("cast(array() as array<string>)"), "generation": (F.col("ord") % 5).cast("int")})
+    return present.detail(m.withColumn("class", F.when(F.col("ord") % 3 != 0, F.col("class"))))
+
+
+@query(MEDICINES + "SELECT region, atc_category AS category, count(*) AS n FROM resolved WHERE contains(lower(concat_ws(' ', name, class)), 'ring brand#1') GROUP BY 1, 2")
+def previews_under_search(spark, sf_dir):
+    found = filters.search_haystack(medicines(spark, sf_dir), " Ring brand#1", filters.haystack(F.col("name"), F.col("class")))
+    return facets.region_category_facet(found, resolved(), F.col("atc_category"))
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey AS ord, p_name AS name, replace(p_name, ' ', '-') AS base, CAST(p_retailprice AS DOUBLE) AS w, p_type, coalesce({_INDICATION.replace("lower(text)", "lower(p_type)")}, 'V') AS cat FROM part WHERE p_size % 10 <> 0 AND p_partkey % 97 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS n FROM a),
+    r(category, region, pos) AS (VALUES {", ".join(f"('{c}', '{rs[0]}', 0)" for c, rs in vocab.CATEGORY_REGIONS.items())})
+    SELECT ord, CASE WHEN n = 1 THEN base ELSE base || '-d' || ord END AS id, name, cat || '99XX99' AS atc_code, w AS molecular_weight, 'II' AS phase, CAST(1 AS INT) AS generation, p_type AS indication,
+      coalesce({sql_region('lower(p_type)')}, region, 'systemic_multiorgan') AS body_region FROM n LEFT JOIN r ON category = cat"""
+)
+def whole_batch(spark, sf_dir):
+    from galenic.plans.etl import build
+
+    raw = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as ord", "if(p_size % 10 <> 0, 'approved', 'withdrawn') as approval_status", "p_name as trialbench_drug_names", "concat('D', p_partkey) as kegg_drug_id",
+        "if(p_partkey % 97 <> 0, concat('K', p_partkey), null) as inchikey", "p_brand as canonical_smiles", "cast(p_retailprice as string) as molecular_weight", "p_type as trialbench_outcomes", "'Phase II, Phase I' as trialbench_phases",
+    )
+    compounds = raw.withColumns({c: F.lit(None).cast("string") for c in tables.COMPOUND_COLUMNS if c not in raw.columns})
+    return build(compounds).drugs.select("ord", "id", "name", "atc_code", "molecular_weight", "phase", "generation", "indication", "body_region")

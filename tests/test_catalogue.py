@@ -99,3 +99,14 @@ def test_query_matches_sql(spark, name):
     assert sorted(names) == columns
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in found.fetchall())
     assert got == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from galenic.__main__ import main
+
+    (tmp_path / "c.tsv").write_text("\n".join([HEADER, *ROWS]) + "\n")
+    main([str(tmp_path / "c.tsv"), str(tmp_path / "out"), "--bundle", str(tmp_path / "bundle")])
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "approved 8, kept 3, skipped 5"
+    assert len(lines) == 4 and all(line.endswith(" 1") for line in lines[1:])
+    assert tables.read_bundle(spark, str(tmp_path / "bundle")).count() == 3

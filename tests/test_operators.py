@@ -137,3 +137,20 @@ def test_no_python_in_plans(spark, drugs):
     resolved = filters.resolved_regions(F.col("body_region"), F.lit(None).cast("array<string>"), F.col("atc_category"))
     for df in (facets.region_category_facet(drugs, resolved, F.col("atc_category")), filters.search(drugs, "a")):
         assert "Python" not in plan(df) and "Pandas" not in plan(df)
+
+
+def test_ids_of_apart_families_and_without_base(spark):
+    data = [(0, "a", "k"), (1, "a-k", "x"), (2, "a", "k"), (3, "b", "q"), (4, "b", "q"), (5, None, "z"), (6, "b-c", "q")]
+    df = spark.createDataFrame(data, "ord int, base string, p string")
+    family = {r["base"]: r["_family"] for r in ids.families(df, "base").collect()}
+    assert family == {"a": "a", "a-k": "a", "b": "b", "b-c": "b"}
+    got = [r["unique_id"] for r in ids.unique_ids(df, "base", [F.col("p")]).orderBy("ord").collect()]
+    assert got == ["a", "a-k", "a-k-2", "b", "b-q", None, "b-c"]
+
+
+def test_numbers_by_name(spark):
+    data = [(i, f"N{i % 7}" if i % 2 else f"n{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(data, "ord int, name string")
+    got = [(r["name"].lower(), r["ord"]) for r in filters.numbered_by_name(df, "name", "ord").orderBy("position").collect()]
+    assert got == sorted((n.lower(), i) for i, n in data)
+    assert filters.numbered_by_name(df.where("false"), "name", "ord").count() == 0
