@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galenic.llm import bpe, embeddings, lines, minhash, mixing, pii, quality, sharding, syncmers, toxicity
+from galenic.llm import bpe, embeddings, importance, licenses, lines, minhash, mixing, periodic, pii, quality, sharding, syncmers, toxicity
 from galenic.llm.common import load
 
 
@@ -51,6 +51,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), most=1)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(load(spark, sf_dir, "documents"), rewritten=True)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_lines": op2_lines,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
+    "op11_importance": op11_importance,
+    "op12_licenses": op12_licenses,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLE_SQL = {
@@ -70,4 +85,7 @@ ORACLE_SQL = {
     "op5_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op9_minhash": minhash.SQL,
+    "op11_importance": importance.SQL,
+    "op12_licenses": licenses.SQL,
+    "op13_periodic": periodic.SQL,
 }
