@@ -41,6 +41,8 @@ CATEGORY_REGIONS = {
     "S": ("eye_ear",),
     "V": ("systemic_multiorgan",),
 }
+#: Trial phases.
+PHASES = ("I", "II", "III", "IV")
 FALLBACK_CATEGORY, FALLBACK_CODE, FALLBACK_REGION = "V", "V99XX99", "systemic_multiorgan"
 
 #: Words of an indication -> category: parts of words count.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galenic.functions.text import empty_as_null, present
-from galenic.functions.vocab import regions
+from galenic.functions.vocab import CATEGORIES, PHASES, REGIONS, regions
 
 
 def counts(df: DataFrame, column: Column, name: str) -> DataFrame:
@@ -40,6 +40,41 @@ def region_category_facet(df: DataFrame, resolved: Column, category: Column) ->
     return each.groupBy("region", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Facets of the cube, in the order of the bits of ``gid``.
+FACETS = ("category", "region", "phase")
+
+
+def facet_cube(df: DataFrame, resolved: Column, category: Column, phase: Column) -> DataFrame:
+    """category, region, phase, gid, n: medicines by every combination of facets, all at once.
+
+    A facet that a row does not look at is null and has its bit in ``gid`` (category 4,
+    region 2, phase 1); a medicine of several regions counts once where region is not
+    looked at.  Every known value is there, zeros included: rows of the dimensions
+    take part with a count of 0, so one Expand and one shuffle make the whole cube.
+    """
+    spark = df.sparkSession
+    known = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in zip(FACETS, ([c for c, *_ in CATEGORIES], [r for r, *_ in REGIONS], PHASES), strict=True)]
+    zeros = known[0].crossJoin(F.broadcast(known[1])).crossJoin(F.broadcast(known[2])).select("category", F.array("region").alias("_regions"), "phase", F.lit(0).alias("_one"))
+    held = df.select(category.alias("category"), F.array_distinct(resolved).alias("_regions"), phase.alias("phase"), F.lit(1).alias("_one"))
+    each = held.unionByName(zeros)
+    # one entry stands for all regions, so the region is no grouping set of its own
+    place = lambda whole, r: F.struct(F.lit(whole).alias("whole"), r.cast("string").alias("region"))
+    each = each.select("category", F.explode(F.concat(F.array(place(1, F.lit(None))), F.transform("_regions", lambda r: place(0, r)))).alias("place"), "phase", "_one")
+    sets = [["place", *kept] for kept in (["category", "phase"], ["category"], ["phase"], [])]
+    found = each.groupingSets(sets, "place", "category", "phase").agg(F.grouping("category").alias("_c"), F.grouping("phase").alias("_p"), F.sum("_one").alias("n"))
+    return found.select("category", "place.region", "phase", (4 * F.col("_c") + 2 * F.col("place.whole") + F.col("_p")).cast("int").alias("gid"), "n")
+
+
+def facet(cube: DataFrame, *names: str, **active: str) -> DataFrame:
+    """One facet, or preview, of a cube: counts by ``names`` under the ``active`` values of others."""
+    looked_at = {*names, *active}
+    gid = sum(bit for bit, name in zip((4, 2, 1), FACETS, strict=True) if name not in looked_at)
+    found = cube.where(F.col("gid") == gid)
+    for name, value in active.items():
+        found = found.where(F.col(name) == value)
+    return found.select(*names, "n")
+
+
 def summary(df: DataFrame, n_categories: int, n_regions: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("medicines"), F.lit(n_categories).cast("long").alias("categories"), F.lit(n_regions).cast("long").alias("regions"))
 

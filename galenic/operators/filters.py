@@ -6,16 +6,16 @@ An empty or null parameter switches a filter off.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galenic.functions.classify import category_regions
 from galenic.functions.text import empty_as_null
 from galenic.functions.arrays import unique
 from galenic.functions.vocab import FALLBACK_CATEGORY
+from galenic.sources.shared import numbered
 
 #: Rows shown without and with a filter.
 STARTER_CAP, FILTERED_CAP = 72, 120
@@ -72,9 +72,14 @@ def search(df: DataFrame, query: str | None, with_indication: bool = False, **fi
     return df.where(found | _holds(F.col("indication"), query) if with_indication else found)
 
 
+def haystack_of(*columns: Column) -> Column:
+    """All non-empty fields, joined by blanks: a query may match across them."""
+    return F.concat_ws(" ", *(empty_as_null(c) for c in columns))
+
+
 def haystack(*columns: Column) -> Column:
-    """All non-empty fields in lower case, joined by blanks: a query may match across them."""
-    return F.lower(F.concat_ws(" ", *(empty_as_null(c) for c in columns)))
+    """The joined fields in lower case."""
+    return F.lower(haystack_of(*columns))
 
 
 def search_haystack(df: DataFrame, query: str | None, hay: Column) -> DataFrame:
@@ -124,21 +129,6 @@ def sorted_by_name(df: DataFrame) -> DataFrame:
     return df.orderBy(F.lower("name"), "ord")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; to a folder of this machine where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def numbered_by_name(df: DataFrame, name: str, key: str) -> DataFrame:
-    """position, from 1, by lower-case name and then ``key``: dealt out by range,
-    counted by range and numbered within, so that no task sorts everything."""
-    order = [F.lower(name), F.col(key)]
-    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    found = dealt.withColumn("_row", inside).join(F.broadcast(starts), "_part")
-    return found.withColumn("position", F.col("_start") + F.col("_row")).select(*df.columns, "position")
+    """position, from 1, by lower-case name and then ``key``; no task sorts everything."""
+    return numbered(df, [F.lower(name), F.col(key)], "position")

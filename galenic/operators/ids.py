@@ -1,86 +1,82 @@
-"""Unique identifiers without a sequential pass.
+"""Unique identifiers as a fixpoint of proposals.
 
-Of rows with the same base, the first keeps it.  The others lengthen it, one
-part at a time (catalogue id, structure key, number among equals), until it is
-free.  Each length is one window.  Where ids of different lengths meet, or a
-chain ends, rows of the bases concerned go through an exact pass.  An id can only
-meet one of another base if one base begins the other at a hyphen; such bases are
-one family, and families go through the pass apart from each other.
+Every row has a list of names it would take, best first: its base (only the first
+row of a base), the base with one more part at a time, with its number among the
+rows of its base, and with that number again and again.  The rule is that rows
+choose in source order, each the first name that no earlier row has.
+
+That is what proposals in rounds come to: all rows propose at once, a name stays
+with the earliest row that ever proposed it, and a row that loses one, now or
+when an earlier row asks for it later, proposes its next.  A name's holder only
+ever becomes earlier, so it is the minimum over all proposals made for it, a
+partial aggregate.  Rounds cover the rows still without a name and end when there
+are none; the names do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galenic.functions.text import empty_as_null
+from galenic.sources.shared import numbered, staged
 
 
-def chained(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -> DataFrame:
-    """Adds n (the place among equal bases), candidates c1.. and final id (null where the chain ended)."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    df = df.withColumn("n", n)
-    chain = F.filter(F.array(*(F.lower(empty_as_null(p)) for p in parts), F.col("n").cast("string")), lambda p: p.isNotNull())
-    df = df.withColumn("_chain", chain).withColumn("unique_id", F.when(F.col("n") == 1, F.col(base)))
-    for k in range(1, len(parts) + 2):
-        name = F.concat_ws("-", F.col(base), F.array_join(F.slice("_chain", 1, k), "-"))
-        df = df.withColumn("_c", F.when(F.col("unique_id").isNull() & (F.size("_chain") >= k), name))
-        rank = F.row_number().over(Window.partitionBy("_c").orderBy(order))
-        df = df.withColumn("unique_id", F.when(F.col("_c").isNotNull() & (rank == 1), F.col("_c")).otherwise(F.col("unique_id")))
-    return df.drop("_chain", "_c")
+def proposed(level: Column) -> Column:
+    """The name of a level (from 0) from base, chain (the parts that are there, the number last) and n."""
+    within = F.array_join(F.concat(F.array("base"), F.slice("chain", F.lit(1), F.least(level, F.size("chain")))), "-")
+    again = F.greatest(level - F.size("chain"), F.lit(0))
+    return F.concat(within, F.repeat(F.concat(F.lit("-"), F.col("n").cast("string")), again))
 
 
-def families(df: DataFrame, base: str) -> DataFrame:
-    """base, _family: the shortest of its own beginnings (cut at hyphens) that is a base as well."""
-    known = df.select(base).where(F.col(base).isNotNull()).distinct()
-    pieces = F.split(base, "-")
-    cuts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), "-"))
-    each = known.select(base, F.explode(cuts).alias("_cut"))
-    return each.join(known.select(F.col(base).alias("_cut")), "_cut").groupBy(base).agg(F.min_by("_cut", F.length("_cut")).alias("_family"))
+def losers(fresh: DataFrame, made: DataFrame | None) -> DataFrame:
+    """Rows of proposals that do not hold their name: of ``fresh``, and those whose name ``fresh`` took.
+
+    ``made`` are the proposals before.  A name that very many rows propose is one
+    row of the partial aggregate, and the join with it can be split.
+    """
+    late = lambda rows, names: rows.join(names, F.col("name") == F.col("_of")).where("_row > _first").select(*fresh.columns)
+    names = fresh.groupBy("name").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if made is None:
+        return late(fresh, names.where("_n > 1").select(F.col("name").alias("_of"), "_first"))
+    asked = names.select(F.col("name").alias("_of"))
+    held = made.join(asked, F.col("name") == F.col("_of"), "left_semi").groupBy("name").agg(F.min_by(F.struct(*fresh.columns), "_row").alias("holder"))
+    held = staged(held.select("holder.*"), "holders")
+    names = names.join(held.select(F.col("name").alias("_of"), F.col("_row").alias("_held")), F.col("name") == F.col("_of"), "left")
+    names = names.where("_n > 1 or _held is not null").select(F.col("name").alias("_of"), F.least("_first", "_held").alias("_first"))
+    names = staged(names, "contested")
+    return late(fresh, names).union(late(held, names))
 
 
 def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -> DataFrame:
     """``df`` with unique_id, exact in every case; null where the base is null.
 
-    Rows that share ``order`` follow each other by base and parts.
+    Rows that share ``order`` follow each other by base and parts; a null
+    ``order`` comes first.
     """
-    cut = {f"part{i}__": F.lower(empty_as_null(p)) for i, p in enumerate(parts)}
-    quick = chained(df, base, parts, order).drop("n").withColumn("unique_id", F.when(F.col(base).isNotNull(), F.col("unique_id")))
-    ended = quick.where(F.col("unique_id").isNull() & F.col(base).isNotNull()).select(base)
-    met = quick.groupBy("unique_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_set(base).alias("_bases")).where("_n > 1 and unique_id is not null")
-    bad = ended.union(met.select(F.explode("_bases"))).distinct()
-    if bad.isEmpty():
-        return quick
-    names = list(cut)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        seen: dict[str, int] = {}
-        out = []
-        for row in rows.sort_values([order, "_again"]).itertuples(index=False):
-            name = getattr(row, base)
-            seen[name] = seen.get(name, 0) + 1
-            free = name
-            for part in [*(getattr(row, p) for p in names), str(seen[name])]:
-                if free not in used:
-                    break
-                if part:
-                    free = f"{free}-{part}"
-            while free in used:
-                free = f"{free}-{seen[name]}"
-            used.add(free)
-            out.append((getattr(row, order), row[-1], free))
-        return pd.DataFrame(out, columns=["_ord", "_nth", "_walked"])
+    cut = [F.lower(empty_as_null(p)) for p in parts]
+    named = df.withColumns({f"_part{i}_": p for i, p in enumerate(cut)} | {"_base": F.col(base)})
+    keys = [f"_part{i}_" for i in range(len(cut))]
+    # all rows by their place, then by their number among those of one base
+    placed = numbered(named, [F.col(order), F.col("_base"), *map(F.col, keys)], "_place", name="places")
+    rows = placed.where("_base is not null").select("_base", "_place", *keys)
+    counted = numbered(rows, [F.col("_place")], "n", by="_base", name="counts")
+    chain = F.filter(F.array(*keys, F.col("n").cast("string")), lambda p: p.isNotNull())
+    first = counted.select(F.col("_place").alias("_row"), F.col("_base").alias("base"), chain.alias("chain"), "n", F.when(F.col("n") == 1, 0).otherwise(1).alias("level"))
+    first = staged(first.withColumn("name", proposed(F.col("level"))), "proposals")
 
-    again = F.row_number().over(Window.partitionBy(order).orderBy(base, *cut.values()))
-    quick = quick.withColumn("_again", again)
-    family = families(df, base)
-    concerned = family.join(family.join(bad, base).select("_family").distinct(), "_family", "left_semi")
-    small = quick.select(order, base, *(c.alias(k) for k, c in cut.items()), "_again").join(concerned, base)
-    small = small.select("_family", order, base, *names, "_again")
-    kind = df.schema[order].dataType.simpleString()
-    # an id depends on those before it in its family: an ordered pass over short columns for each
-    named = small.groupBy("_family").applyInPandas(walk, f"_ord {kind}, _nth int, _walked string")
-    found = quick.join(named, (F.col(order) == F.col("_ord")) & (F.col("_again") == F.col("_nth")), "left")
-    return found.withColumn("unique_id", F.coalesce("_walked", "unique_id")).drop("_ord", "_nth", "_walked", "_again")
+    made: list[DataFrame] = []  # a written table for each round
+    fresh = first
+    while not fresh.isEmpty():
+        again = losers(fresh, reduce(DataFrame.union, made) if made else None)
+        made.append(fresh)
+        again = again.withColumn("level", F.col("level") + 1)
+        fresh = staged(again.withColumn("name", proposed(F.col("level"))), "proposals")
+    later = [r.select("_row", "level", "name") for r in made[1:]]
+    names = first.select("_row", F.col("name").alias("_name"))
+    if later:  # a row's last proposal is the one that stayed
+        last = reduce(DataFrame.union, later).groupBy("_row").agg(F.max_by("name", "level").alias("_last")).withColumnRenamed("_row", "_again")
+        names = names.join(last, F.col("_row") == F.col("_again"), "left").select("_row", F.coalesce("_last", "_name").alias("_name"))
+    return placed.join(names, F.col("_place") == F.col("_row"), "left").select(*df.columns, F.col("_name").alias("unique_id"))

@@ -75,6 +75,35 @@ def anatomy_nodes(ontology: DataFrame) -> DataFrame:
     return each.select("region", "node", F.col("v.display_name").alias("display_name"), F.col("v.parent").alias("parent"))
 
 
+#: Steps from a root that a path may have: the bound of the recursion.
+DEEPEST = 50
+
+
+def anatomy_paths(nodes: DataFrame, separator: str = " > ") -> DataFrame:
+    """region, node, depth, root, path of every node: its way from the root, down along ``parent``.
+
+    A recursive query, a step for each level.  A node whose parent is not among the
+    nodes of its region is a root.  Nodes on a cycle, or below one, have no way
+    from a root: they come with null depth, root and path.  ``nodes`` is a vocabulary, so
+    its rows are within the bound that Spark sets on recursion; a table of any size
+    that refers to nodes is joined with the result.
+    """
+    spark = nodes.sparkSession
+    nodes = nodes.select("region", "node", "parent").dropDuplicates(["region", "node"])
+    found = spark.sql(
+        f"""
+        WITH RECURSIVE down (region, node, depth, root, way) MAX RECURSION LEVEL {DEEPEST} AS (
+          SELECT n.region, n.node, 0, n.node, array(n.node) FROM {{nodes}} n LEFT ANTI JOIN {{nodes}} p ON p.region = n.region AND p.node = n.parent
+          UNION ALL
+          SELECT c.region, c.node, d.depth + 1, d.root, array_append(d.way, c.node) FROM down d JOIN {{nodes}} c ON c.region = d.region AND c.parent = d.node
+          WHERE d.depth + 1 < {DEEPEST} AND NOT array_contains(d.way, c.node))
+        SELECT region AS _region, node AS _node, depth, root, array_join(way, :separator) AS path FROM down""",
+        args={"separator": separator},
+        nodes=nodes,
+    )
+    return nodes.join(found, (F.col("region") == F.col("_region")) & (F.col("node") == F.col("_node")), "left").select("region", "node", "depth", "root", "path")
+
+
 def diseases(ontology: DataFrame) -> DataFrame:
     """disease, region, node from the map of diseases."""
     each = ontology.select(F.explode("disease_to_anatomy").alias("disease", "v"))
