@@ -92,10 +92,15 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == value).orderBy("ord").limit(1)
 
 
-def page(df: DataFrame, limit: int = 100, offset: int = 0, order: str = "ord") -> DataFrame:
-    """A page in source order. Raises ValueError on a limit outside 1..10,000 or a negative offset."""
+def check_page(limit: int, offset: int) -> None:
+    """Raises ValueError on a limit outside 1..10,000 or a negative offset."""
     if not 1 <= limit <= LARGEST_PAGE or offset < 0:
         raise ValueError(f"limit must be 1 to {LARGEST_PAGE} and offset at least 0")
+
+
+def page(df: DataFrame, limit: int = 100, offset: int = 0, order: str = "ord") -> DataFrame:
+    """A page in source order. Raises ValueError on a limit outside 1..10,000 or a negative offset."""
+    check_page(limit, offset)
     return df.orderBy(order).offset(offset).limit(limit)
 
 

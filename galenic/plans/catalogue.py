@@ -321,11 +321,12 @@ def classify_whole_word(spark, sf_dir):
 
 @query(f"SELECT doc_id, coalesce(CASE WHEN quality = 0 THEN 'L01XX01' END, {_INDICATION} || '99XX99', CASE WHEN lang = 'de' THEN 'N99XX99' END, 'V99XX99') AS atc_code FROM documents LEFT JOIN labels USING (doc_id)")
 def cascade_category(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    known = F.when(F.col("quality") == 0, "L01XX01")
     by_text = classify.code_of_category(classify.category_of_indication(F.col("text")))
+    # the texts stay below the join: rows that meet are short, and each is classified once
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", by_text.alias("by_text")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    known = F.when(F.col("quality") == 0, "L01XX01")
     by_tissue = classify.code_of_category(classify.category_of_tissue(F.when(F.col("lang") == "de", "brain")))
-    return d.select("doc_id", F.coalesce(known, by_text, by_tissue, F.lit(vocab.FALLBACK_CODE)).alias("atc_code"))
+    return d.select("doc_id", F.coalesce(known, "by_text", by_tissue, F.lit(vocab.FALLBACK_CODE)).alias("atc_code"))
 
 
 @query(MEDICINES + "SELECT ord, CAST(CASE WHEN coalesce(y, 0) < 1970 THEN 1 WHEN y < 1990 THEN 2 WHEN y < 2010 THEN 3 ELSE 4 END AS INT) AS generation FROM (SELECT ord, CASE WHEN ord % 50 = 0 THEN NULL ELSE year_approved END AS y FROM m)")

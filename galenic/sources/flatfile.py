@@ -7,7 +7,7 @@ nothing, and neither do lines before the first field.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galenic.functions.text import codes, strip, year
@@ -26,21 +26,17 @@ def missing(ids: DataFrame, known: DataFrame) -> DataFrame:
     return ids.select("entry_id").distinct().join(known.select("entry_id"), "entry_id", "left_anti")
 
 
-def lines(entries: DataFrame) -> DataFrame:
-    """entry_id, line_no, line, starts, field_no of the lines that count."""
-    each = entries.select("entry_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(strip(F.col("line")) != "")
-    each = each.withColumn("starts", (F.length("line") > LABEL) & (F.left("line", F.lit(1)) != " "))
-    so_far = Window.partitionBy("entry_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("field_no", F.sum(F.col("starts").cast("int")).over(so_far)).where("field_no > 0")
-
-
 def fields(entries: DataFrame) -> DataFrame:
-    """entry_id, field_no, label, values (array of its lines)."""
-    each = lines(entries)
-    value = strip(F.when(F.col("starts"), F.substring("line", LABEL + 1, 1 << 30)).otherwise(F.col("line")))
-    label = F.when(F.col("starts"), strip(F.left("line", F.lit(LABEL))))
-    found = each.groupBy("entry_id", "field_no").agg(F.max(label).alias("label"), F.sort_array(F.collect_list(F.struct("line_no", value.alias("v")))).alias("rows"))
-    return found.select("entry_id", "field_no", "label", F.col("rows.v").alias("values"))
+    """entry_id, field_no, label, values (array of its lines). An entry is cut within its row: nothing is shuffled."""
+    counted = entries.select("entry_id", F.filter(F.split("text", "\n"), lambda v: strip(v) != "").alias("lines"))
+    begins = lambda v: (F.length(v) > LABEL) & (F.left(v, F.lit(1)) != " ")
+    starts = F.filter(F.transform("lines", lambda v, i: F.when(begins(v), i)), lambda i: i.isNotNull())
+    placed = counted.select("entry_id", "lines", starts.alias("starts"))
+    each = placed.select("entry_id", "lines", F.posexplode(F.transform("starts", lambda i, k: F.struct(i.alias("a"), F.coalesce(F.get("starts", k + 1), F.size("lines")).alias("b")))).alias("k", "at"))
+    own = F.slice("lines", F.col("at.a") + 1, F.col("at.b") - F.col("at.a"))
+    value = lambda v, i: strip(F.when(i == 0, F.substring(v, LABEL + 1, 1 << 30)).otherwise(v))
+    label = strip(F.left(F.get("lines", F.col("at.a")), F.lit(LABEL)))
+    return each.select("entry_id", (F.col("k") + 1).cast("long").alias("field_no"), label.alias("label"), F.transform(own, value).alias("values"))
 
 
 def interpret(entries: DataFrame, whole_years: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ the operators can rely on their inputs.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -66,11 +66,8 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def drugs_of(bundle: DataFrame, strict: bool = True) -> DataFrame:
-    """The records of a bundle with ``ord``. Strict: one record without a required
-    field empties the list; else only such records go."""
-    each = bundle.select(F.posexplode("drugs").alias("ord", "d")).select(F.col("ord").cast("long").alias("ord"), "d.*")
-    each = each.withColumn("class", F.coalesce("class", "class_name")).drop("class_name")
+def usable(each: DataFrame, strict: bool = True) -> DataFrame:
+    """Records with all required fields. Strict: one without empties the list; else only such records go."""
     whole = F.lit(True)
     for c in REQUIRED:
         whole = whole & F.col(c).isNotNull()
@@ -80,6 +77,12 @@ def drugs_of(bundle: DataFrame, strict: bool = True) -> DataFrame:
     return each.join(F.broadcast(broken), how="left_anti", on=F.col("_broken") == F.lit(1))
 
 
+def drugs_of(bundle: DataFrame, strict: bool = True) -> DataFrame:
+    """The records of a bundle with ``ord``; of broken ones see ``usable``."""
+    each = bundle.select(F.posexplode("drugs").alias("ord", "d")).select(F.col("ord").cast("long").alias("ord"), "d.*")
+    return usable(each.withColumn("class", F.coalesce("class", "class_name")).drop("class_name"), strict)
+
+
 def read_bundle(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The records of a JSON bundle; an absent or unreadable file is an empty list."""
     try:
@@ -107,6 +110,19 @@ def first_readable(spark: SparkSession, paths: Iterable[str], strict: bool = Fal
     return last if last is not None else drugs_of(spark.createDataFrame([], BUNDLE))
 
 
+def first_with_rows(sources: Iterable[Callable[[], DataFrame]]) -> DataFrame | None:
+    """The first source that can be read and has rows: embedded records, an API's answer, paths, in the order
+    given; None if there is none."""
+    for source in sources:
+        try:
+            found = source()
+            if not found.isEmpty():
+                return found
+        except AnalysisException:
+            continue
+    return None
+
+
 def bundle_of(drugs: DataFrame, source: str, kegg_enriched: bool = False, local_names: bool = False, class_name: bool = False) -> DataFrame:
     """One JSON value: the records by lower-case name and source order, and their metadata.
 
@@ -139,5 +155,14 @@ def as_script(df: DataFrame, variable: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"window.{variable} = "), "value", F.lit(";")).alias("value"))
 
 
+def write_scripts(spark: SparkSession, out: str, drugs: str, ontology: str, drawing: str) -> None:
+    """The bundle, the ontology and a drawing (paths) as scripts in ``out``, each one global variable."""
+    whole = lambda path: spark.read.text(path, wholetext=True)
+    text = F.to_json(F.array("value"))
+    quoted = whole(drawing).select(F.substring(text, F.lit(2), F.length(text) - 2).alias("value"))
+    for folder, variable, df in (("drugs", "GALENIC_DRUGS_DATA", whole(drugs)), ("body-ontology", "GALENIC_BODY_ONTOLOGY", whole(ontology)), ("human-body-svg", "GALENIC_HUMAN_BODY_SVG", quoted)):
+        as_script(df, variable).coalesce(1).write.mode("overwrite").text(f"{out}/{folder}")
+
+
 def as_json(value) -> str:
     return json.dumps(value, ensure_ascii=False)
