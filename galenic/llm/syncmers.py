@@ -4,8 +4,8 @@ A text is a sequence of code points, white space counting as blanks.  A run of
 k of them is an anchor if the smallest hash of its inner runs of s is that of
 the first or the last.  Whether a run is an anchor depends on nothing around
 it, so an edit changes only the anchors it touches.  Every stretch of 2k - s - 1
-code points holds an anchor.  k and s go with the length of a text (``LEVELS``);
-two texts are compared at the level of the shorter one.
+code points holds an anchor.  k and s are the same for all texts; a text in which
+no run is an anchor, as it is shorter than that, is one anchor as a whole.
 
 A fingerprint keeps all anchors, hash and place.  Anchors of two texts match by
 hash and by order of place: the first place of a hash with the first, the second
@@ -20,8 +20,8 @@ a range is also sent to the range above, and the largest of all to the lowest.
 ``anchors`` and ``shared_places`` do the same over words.
 
 Edge cases: null counts as empty; a text without words has the empty
-fingerprint, and two empty fingerprints have likeness 1; a text of one code
-point has that as its anchor; rows that repeat a doc_id are fingerprinted row by
+fingerprint, and two empty fingerprints have likeness 1; short texts (see above)
+are alike if they are equal, and not at all else; rows that repeat a doc_id are fingerprinted row by
 row in the order of a hash of their texts, each followed by the next row; a row
 without a doc_id has no next document; an empty table gives an empty result;
 extra columns are ignored.
@@ -29,15 +29,19 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galenic.llm.common import SPACE
 
 #: Words of a run of ``anchors``.
 RUN = 5
-#: Code points of a text from which on a level holds, and of its runs and inner runs.
-LEVELS = ((96, 20, 4), (24, 8, 3), (0, 2, 1))
+#: Code points of a run and of its inner runs, and of a text that has anchors in any case, and a run in either half.
+K, S = 16, 4
+SURE = 2 * K
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 
@@ -80,34 +84,27 @@ def let(value: str, name: str, use: str) -> str:
     return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def level(*lengths: str) -> str:
-    """The number in ``LEVELS`` at which texts of these lengths are compared."""
-    n = f"least({', '.join(lengths)})" if len(lengths) > 1 else lengths[0]
-    return f"(case when {n} >= {LEVELS[0][0]} then 0 when {n} >= {LEVELS[1][0]} then 1 else 2 end)"
-
-
 def _packed(value: str, place: str) -> str:
     return f"(shiftleft(({value}) & 4294967295, 32) | cast({place} as bigint))"
 
 
-def _runs(points: str, k: int, s: int) -> str:
-    """array<bigint>: the anchors, runs of k of the code points, in the order of their hashes; hash in the upper, place in the lower half."""
-    wide = k - s
+def _runs(points: str) -> str:
+    """array<bigint>: the runs of the code points that are anchors, in the order of their hashes; hash in the upper, place in the lower half."""
+    wide = K - S
 
     def least(v: str, at: str, step: int) -> str:
         """Whether v is not above any of the inner values; most are decided by the first few."""
-        return " and ".join(f"{v} <= get(g, {at} + {step * j})" for j in range(1, max(2, wide)))
+        return " and ".join(f"{v} <= get(g, {at} + {step * j})" for j in range(1, wide))
 
     left = f"case when {least('v', 'i', 1)} and get(g, i + {wide}) is not null then i end"
     # only of runs that are no anchors by their left edge
     right = f"case when {least('v', 'i', -1)} and get(g, i - {wide}) is not null and not ({least(f'get(g, i - {wide})', f'i - {wide}', 1)}) then i - {wide} end"
     starts = ", ".join(f"filter(transform(g, (v, i) -> {edge}), i -> i is not null)" for edge in (left, right))
-    whole = ", ".join(f"get(g, i + {j})" for j in sorted({*range(0, wide, s), wide}))
+    whole = ", ".join(f"get(g, i + {j})" for j in range(0, wide + 1, S))
     found = f"sort_array(transform(concat({starts}), i -> {_packed(f'xxhash64({whole})', 'i')}))"
-    inner = ", ".join(f"get({points}, i + {j})" for j in range(s))
-    hashes = f"transform(sequence(0, size({points}) - {s}), i -> xxhash64({inner}))"
-    one = f"sort_array(transform({points}, (c, i) -> {_packed('xxhash64(c)', 'i')}))"
-    return f"case when size({points}) >= {k} then {let(hashes, 'g', found)} else {one} end"
+    inner = ", ".join(f"get({points}, i + {j})" for j in range(S))
+    hashes = f"transform(sequence(0, size({points}) - {S}), i -> xxhash64({inner}))"
+    return f"case when size({points}) >= {K} then {let(hashes, 'g', found)} else cast(array() as array<bigint>) end"
 
 
 def code_points(text: str) -> str:
@@ -118,27 +115,30 @@ def blank(text: str) -> str:
     return rf"(btrim({text}, ' \t\n\u000b\f\r') = '')"
 
 
-def places(text: str, at: str) -> str:
-    """array<bigint>: all anchors of a text at level ``at``, in the order of their hashes."""
-    runs = [_runs("c", k, s) for _, k, s in LEVELS]
-    found = let(code_points(text), "c", f"case {at} when 0 then {runs[0]} when 1 then {runs[1]} else {runs[2]} end")
-    return f"case when {blank(text)} then cast(array() as array<bigint>) else {found} end"
+def places(text: str) -> str:
+    """array<bigint>: all anchors of a text, in the order of their hashes."""
+    either = let(_runs("c"), "f", f"case when size(f) > 0 then f else array({_packed('xxhash64(c)', '0')}) end")
+    return f"case when {blank(text)} then cast(array() as array<bigint>) else {let(code_points(text), 'c', either)} end"
 
 
 def spliced(own: str, text: str, stay: str, after: str, other: str, put: str) -> str:
-    """Anchors, at level 0, of the first ``stay`` code points of ``text`` and the
+    """Anchors of the first ``stay`` code points of ``text`` and the
     first ``put`` of ``after``, from those of either (``own``, ``other``)."""
-    _, k, s = LEVELS[0]
-    joint = f"concat(right(left({text}, {stay}), {k - 1}), left(left({after}, {put}), {k - 1}))"
-    across = f"transform({let(code_points(joint), 'c', _runs('c', k, s))}, x -> x + n.stay - {k - 1})"
-    left = f"filter({own}, x -> (x & 4294967295) + {k} <= n.stay)"
-    right = f"transform(filter({other}, x -> (x & 4294967295) + {k} <= n.put), x -> x + n.stay)"
+    joint = f"concat(right(left({text}, {stay}), {K - 1}), left(left({after}, {put}), {K - 1}))"
+    across = f"transform({let(code_points(joint), 'c', _runs('c'))}, x -> x + n.stay - {K - 1})"
+    left = f"filter({own}, x -> (x & 4294967295) + {K} <= n.stay)"
+    right = f"transform(filter({other}, x -> (x & 4294967295) + {K} <= n.put), x -> x + n.stay)"
     # bound: the lengths of whole texts are counted once and not for each anchor
     return let(f"named_struct('stay', cast({stay} as bigint), 'put', cast({put} as bigint))", "n", f"sort_array(concat({left}, {across}, {right}))")
 
 
-def fingerprint(found: Column) -> Column:
-    """Anchors in the order of their hashes as text: eight hexadecimal digits of the hash and eight of the place of each, with commas between."""
+def fingerprint(found: Column, compact: bool = False) -> Column:
+    """Anchors in the order of their hashes as text: eight hexadecimal digits of the hash and eight of the place of each, with commas between.
+
+    ``compact`` leaves places and commas out: half the size, enough to tell how alike texts are, not where.
+    """
+    if compact:
+        return F.array_join(F.transform(found, lambda p: F.left(F.lpad(F.hex(p), 16, "0"), F.lit(8))), "")
     return F.array_join(F.transform(found, lambda p: F.lpad(F.hex(p), 16, "0")), ",")
 
 
@@ -167,7 +167,17 @@ def shared_places(a: Column, b: Column) -> Column:
 
 def marked(rows: DataFrame) -> DataFrame:
     """``rows`` with own, the anchors of text, and marks, the same ``counted``."""
-    return rows.withColumn("own", F.expr(places("text", level("length(text)")))).withColumn("marks", F.expr(counted("own")))
+    return rows.withColumn("own", F.expr(places("text"))).withColumn("marks", F.expr(counted("own")))
+
+
+def below(bounds: Column, value: Column, n: int) -> Column:
+    """How many of the n ascending ``bounds`` are below ``value``, in as many steps as n has binary digits."""
+
+    def step(low: Column, width: Column) -> Column:
+        far = low + width
+        return F.when((far <= n) & (F.get(bounds, far - 1) < value), far).otherwise(low)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length())))), F.lit(0), step)
 
 
 def followed(rows: DataFrame) -> DataFrame:
@@ -184,9 +194,9 @@ def followed(rows: DataFrame) -> DataFrame:
     if not tops:
         tops = [None]
     kind = rows.schema["doc_id"].dataType
-    bounds = F.array(*(F.lit(t).cast(kind) for t in tops))
+    bounds = F.from_json(F.lit(json.dumps(tops, default=str)), T.ArrayType(kind))  # one constant
     mark = F.xxhash64(F.lit(11), "text")
-    part = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    part = below(bounds, F.col("doc_id"), len(tops))
     above = F.pmod(F.col("part") + 1, F.lit(len(tops)))
     dealt = rows.select("doc_id", "text", mark.alias("mark"), part.alias("part"))
     # of the rows of a range's largest id, the one that comes first heads it
@@ -200,7 +210,7 @@ def followed(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", "text", "own", "marks", F.col("after.text").alias("next"), F.col("after.own").alias("next_own"), F.col("after.marks").alias("next_marks"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, compact: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = followed(rows.where("doc_id is not null"))
@@ -209,21 +219,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     found = found.union(alone.select("doc_id", "text", "own", "marks", *(F.lit(None).cast(kind).alias(name) for name, kind in none.items())))
     half, after = "cast(length(text) div 2 as int)", "coalesce(next, '')"
     found = found.withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left({after}, {half}))"))
-    scale = {name: level(*(f"length({c})" for c in name.split("+"))) for name in ("text", "edited", "next", "text+edited", "text+next")}
-    whole = " and ".join(f"{scale[c]} = 0 and not {blank(c)}" for c in ("text", "edited", "next"))
+    whole = " and ".join(f"length({c}) >= {SURE} and not {blank(c)}" for c in ("text", "edited", "next"))
     splice = spliced("own", "text", f"length(text) - {half}", after, "next_own", f"least({half}, length({after}))")
-    found = found.withColumn("new", F.expr(f"case when next is not null and {whole} then {splice} else {places('edited', scale['edited'])} end"))
+    found = found.withColumn("new", F.expr(f"case when next is not null and {whole} then {splice} else {places('edited')} end"))
     found = found.withColumn("new_marks", F.expr(counted("new")))
-
-    def at(column: str, name: str, pair: str) -> str:
-        return f"case when {scale[name]} = {scale[pair]} then {column} else {counted(places(name, scale[pair]))} end"
-
     return found.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("new")).alias("edited_fingerprint"),
-        F.expr(likeness(at("marks", "text", "text+edited"), at("new_marks", "edited", "text+edited"))).alias("near_edited"),
-        F.expr(f"case when next is null then 0D else {likeness(at('marks', 'text', 'text+next'), at('next_marks', 'next', 'text+next'))} end").alias("near_next"),
+        fingerprint(F.col("own"), compact).alias("fingerprint"),
+        fingerprint(F.col("new"), compact).alias("edited_fingerprint"),
+        F.expr(likeness("marks", "new_marks")).alias("near_edited"),
+        F.expr(f"case when next is null then 0D else {likeness('marks', 'next_marks')} end").alias("near_next"),
     )

@@ -111,14 +111,14 @@ def test_fingerprints_of_few(docs):
 def test_fingerprints_of_all_anchors(docs):
     rng = random.Random(8)
     long = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
-    texts = [long, long[:9000] + "#" + long[9000:], "one small note", "one small nose", "漢字" * 200 + "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(600))]
+    texts = [long, long[:9000] + "#" + long[9000:], "one small note that goes on for a while, as notes do", "one small note that went off in a while, as notes do", "漢字" * 200 + "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(600))]
     rows = {r["doc_id"]: r for r in syncmers.fingerprints(docs(texts)).collect()}
     marks = sorted(((x[:8], int(x[8:], 16)) for x in rows[0]["fingerprint"].split(",")), key=lambda x: x[1])
-    assert len(marks) > len(long) / 20 and all(b[1] - a[1] <= 16 for a, b in zip(marks, marks[1:], strict=False)) and marks[-1][1] > len(long) - 40
+    assert len(marks) > len(long) / 16 and all(b[1] - a[1] <= 12 for a, b in zip(marks, marks[1:], strict=False)) and marks[-1][1] > len(long) - 40
     shifted = sorted(((x[:8], int(x[8:], 16)) for x in rows[1]["fingerprint"].split(",")), key=lambda x: x[1])
     assert [m for m in marks if m[1] >= 9000] == [(h, at - 1) for h, at in shifted if at > 9000]
     assert 0.98 < rows[1]["near_next"] < 1  # one code point more, far behind the smallest hashes
-    assert 0 < rows[3]["near_next"] < 1 and 0 < rows[2]["near_edited"] < 1  # short texts
+    assert 0 < rows[3]["near_next"] < 1 and 0 < rows[2]["near_edited"] < 1  # texts of a line
     assert 0.2 < rows[4]["near_edited"] < 0.8  # a script without blanks
 
 
@@ -127,7 +127,7 @@ def brute_anchors(text):
     if not text.strip(" \t\n\x0b\x0c\r"):
         return []
     c = [" " if x in "\t\n\x0b\x0c\r" else x for x in text]
-    k, s = next((k, s) for n, k, s in syncmers.LEVELS if len(text) >= n)
+    k, s = syncmers.K, syncmers.S
 
     def mix(parts):
         seed = 42
@@ -135,11 +135,9 @@ def brute_anchors(text):
             seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
         return seed - (1 << 64) if seed >> 63 else seed
 
-    if len(c) < k:
-        return [f"{mix([x]) & 0xFFFFFFFF:08X}{i:08X}" for i, x in enumerate(c)]
     g = [mix(c[i : i + s]) for i in range(len(c) - s + 1)]
-    closed = [i for i in range(len(c) - k + 1) if k - s < 2 or min(g[i], g[i + k - s]) <= min(g[i + 1 : i + k - s])]
-    return [f"{mix([g[i + j] for j in sorted({*range(0, k - s, s), k - s})]) & 0xFFFFFFFF:08X}{i:08X}" for i in closed]
+    closed = [i for i in range(len(c) - k + 1) if min(g[i], g[i + k - s]) <= min(g[i + 1 : i + k - s])]
+    return [f"{mix([g[i + j] for j in range(0, k - s + 1, s)]) & 0xFFFFFFFF:08X}{i:08X}" for i in closed] or [f"{mix(c) & 0xFFFFFFFF:08X}{0:08X}"]
 
 
 def brute_likeness(a, b):
@@ -152,6 +150,7 @@ def test_fingerprints_by_brute_force(docs):
     rng = random.Random(15)
     alphabet = ["a", "b ", "the ", "é", "𝄞", "漢", "\n", " ", "\t ", "word", "12"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 3, 10, 20, 40, 80, 300]))) for _ in range(120)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(200))[:n] for n in range(8, 104)]
     texts += [None, "", " " * 100, "x" * 70, " " * 40 + "y" * 60, "y" * 60 + " " * 60, " " * 59 + "yy" + " " * 59, texts[7], texts[7]]
     rows = {r["doc_id"]: r for r in syncmers.fingerprints(docs(texts)).collect()}
     assert len(rows) == len(texts)
@@ -162,15 +161,26 @@ def test_fingerprints_by_brute_force(docs):
         own, new, other = brute_anchors(t), brute_anchors(edited), brute_anchors(after)
         split = lambda f: sorted(f.split(","), key=lambda x: x[8:]) if f else []
         assert split(rows[i]["fingerprint"]) == own and split(rows[i]["edited_fingerprint"]) == new
-        level = lambda x: next(n for n, _, _ in syncmers.LEVELS if len(x) >= n)
-        for column, text, found in (("near_edited", edited, new), ("near_next", after, other)):
-            if level(t) == level(text):
-                assert abs(rows[i][column] - brute_likeness(own, found)) < 1e-12
+        for column, found in (("near_edited", new), ("near_next", other)):
+            assert abs(rows[i][column] - brute_likeness(own, found)) < 1e-12
+
+
+def test_bounds(spark):
+    for n in (1, 2, 3, 7, 8, 9, 100):
+        tops = F.array(*(F.lit(3 * i) for i in range(n)))
+        got = spark.range(-2, 3 * n + 2).select("id", syncmers.below(tops, F.col("id"), n).alias("n")).collect()
+        assert all(r["n"] == sum(3 * i < r["id"] for i in range(n)) for r in got)
+
+
+def test_compact_fingerprints(docs):
+    df = docs(["".join(chr(97 + i * i % 23) for i in range(400)), "short"])
+    for whole, small in zip(syncmers.fingerprints(df).orderBy("doc_id").collect(), syncmers.fingerprints(df, compact=True).orderBy("doc_id").collect(), strict=True):
+        assert small["fingerprint"] == "".join(x[:8] for x in whole["fingerprint"].split(",")) and small["near_edited"] == whole["near_edited"]
 
 
 def test_likeness_counts_places(spark):
     df = spark.createDataFrame([("abcdefgh" * 40, "abcdefgh" * 80)], "a string, b string")
-    a, b = (syncmers.counted(syncmers.places(c, "0")) for c in "ab")
+    a, b = (syncmers.counted(syncmers.places(c)) for c in "ab")
     row = df.select(F.expr(syncmers.likeness(a, b)).alias("ab"), F.expr(syncmers.likeness(a, a)).alias("aa")).first()
     assert row["aa"] == 1 and 0.4 < row["ab"] < 0.6
 
