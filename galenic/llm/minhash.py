@@ -21,8 +21,10 @@ taken for links without their full sets.
 
 Edge cases: null and empty texts, and texts of blanks, have no shingles and
 link with nothing; a text with fewer words than a shingle is one shingle; rows
-that repeat a doc_id are compared by their own texts and share the id; an empty
-table gives an empty result; extra columns are ignored.
+that repeat a doc_id are compared by their own texts and share the id; a row
+without a doc_id is linked by its text like any other, its group has the smallest
+doc_id there is in it (null if there is none); an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galenic.llm.common import Linked, blocked, components, crossing, linked, named_components, runs, spanning, staged
+from galenic.llm.common import WORD, Linked, blocked, components, crossing, linked, named_components, runs, spanning, staged
 
 K = 64
 SLICE = 256
@@ -205,9 +207,13 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """src, dst: edges that join what the links confirmed on full sets do. ``clusters``: doc_id, cls, n_shingles, cluster."""
+    """src, dst: edges that join what the links confirmed on full sets do. ``clusters``: one (the doc_id and
+    mark of the row that stands for a class, either may be null), cls, n_shingles, cluster, again (there are several such rows)."""
     dealt = blocked(clusters, "cluster", "cls", CLUSTER_ROWS, "n_shingles", CLUSTER_SHINGLES)
-    texts = docs.select("doc_id", "text").join(dealt.drop("n_shingles"), "doc_id")
+    several = not clusters.where("again").isEmpty()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    met = rows["doc_id"].eqNullSafe(F.col("one.doc_id")) & (rows["mark"] == F.col("one.mark"))
+    texts = rows.join(dealt.select("one", "cls", "cluster", "_mine", "_blocks"), met).drop("doc_id", "mark", "one")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -219,7 +225,8 @@ def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> Dat
                 out = part.select(["cls", "cluster", "_mine", "_blocks"]).append_column("found", pa.array([f.tobytes() for f in found], pa.binary()))
                 yield out.filter(pa.array(same))
 
-    full = staged(texts.mapInArrow(sets, "cls bigint, cluster bigint, _mine int, _blocks int, found binary"), "sets")
+    full = texts.mapInArrow(sets, "cls bigint, cluster bigint, _mine int, _blocks int, found binary")
+    full = staged(full.dropDuplicates(["cls"]) if several else full, "sets")
 
     def compare(dealt: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +249,14 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """What ``near_duplicates`` gives, with mark and part (the component, null without shingles) of every row."""
     t = agreement(percent)
     rows = staged(signatures(docs, width), "signatures")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # rows of one doc_id and text are one here, so that what stands for a class is told apart from the others
+    each = rows.where("cls is not null").groupBy("cls", "doc_id", "mark").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), (F.count(F.lit(1)) > 1).alias("again"))
+    one = F.struct("doc_id", "mark")
+    classes = each.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(one).alias("one"), F.min_by("again", one).alias("again"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = staged(classes, "classes")
     found = staged(candidates(staged(postings(classes, t), "postings"), classes, t), "candidates")
     clusters = components(found).withColumnRenamed("component", "cluster")
-    members = staged(classes.select("doc_id", "cls", "n_shingles").join(clusters, F.col("cls") == F.col("node")).drop("node"), "clusters")
+    members = staged(classes.select("one", "again", "cls", "n_shingles").join(clusters, F.col("cls") == F.col("node")).drop("node"), "clusters")
     named = named_components(classes.select("cls", F.col("doc_id").alias("first")), links(docs, members, width, percent))
     out = rows.select("doc_id", "mark", "n_shingles", "cls").join(named, "cls", "left")
     out = out.select("doc_id", "mark", "part", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -263,11 +273,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which near-duplicates keep one: that with the
     smallest doc_id, and of several of that the text of the smallest hash, once.
-    Other texts of the same doc_id are judged for themselves. Rows without a doc_id stay."""
-    kept = grouped(docs, **options).where("kept and doc_id is not null")
-    kept = kept.groupBy("doc_id", "part").agg(F.min("mark").alias("_mark")).select("doc_id", "_mark")
-    one = docs.withColumn("_mark", F.xxhash64("text")).join(kept, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+    Other texts of the same doc_id are judged for themselves.  Rows without a
+    doc_id go with their group like any other, and stay if no row of it has one: of
+    them the text of the smallest hash; if they have no words, all."""
+    found = grouped(docs, **options).where("kept")
+    kept = found.where("doc_id is not null or part is not null").groupBy("doc_id", "part").agg(F.min("mark").alias("_mark"))
+    kept = kept.select(F.struct("doc_id", F.col("_mark").alias("mark")).alias("_kept")).distinct()
+    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("mark")))
+    one = rows.join(kept, F.col("_row").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_row"])
+    bare = docs.where(F.col("doc_id").isNull() & (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0))
+    return one.select(*docs.columns).union(bare)
 
 
 SQL = r"""

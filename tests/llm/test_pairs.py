@@ -121,6 +121,25 @@ def test_documents_of_one_id(docs):
     assert len(both) == 1
 
 
+def test_documents_without_id(docs):
+    """Links do not depend on ids: near copies without one join their group, and a group of such rows keeps one."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    near = lambda at: " ".join([*base[:at], "exchanged", *base[at + 1 :]])
+    alone = [f"v{rng.randrange(500)}" for _ in range(120)]
+    texts = [" ".join(base), near(10), near(100), near(100), " ".join(alone), " ".join([*alone[:-1], "x"]), " ".join(alone), "", None, "a b c d e f g"]
+    df = docs(texts, ids=[1, None, None, None, None, None, None, None, None, 9])
+    found = minhash.grouped(df).collect()
+    assert len(found) == len(texts)
+    linked = [r for r in found if r["component_id"] == 1]
+    assert len(linked) == 4 and sum(r["kept"] for r in linked) == 1
+    others = [r for r in found if r["component_id"] is None and r["part"] is not None]
+    assert len(others) == 3 and len({r["part"] for r in others}) == 1 and all(r["kept"] for r in others)
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in minhash.deduplicated(df).collect())
+    assert [k for k, _ in kept] == ["1", "9", "None", "None", "None"]
+    assert [t for k, t in kept if k == "None"][:2] == ["", ""] and kept[-1][1] in texts[4:7]
+
+
 @pytest.mark.parametrize("same", (0.2, 0.7, 0.95))
 def test_collisions(same):
     """Merged counts are those of a plain comparison, with few and with very frequent values."""
