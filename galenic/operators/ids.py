@@ -50,11 +50,12 @@ def losers(fresh: DataFrame, made: DataFrame | None) -> DataFrame:
     return late(fresh, names).union(late(held, names))
 
 
-def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord") -> DataFrame:
+def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
     """``df`` with unique_id, exact in every case; null where the base is null.
 
     Rows that share ``order`` follow each other by base and parts; a null
-    ``order`` comes first.
+    ``order`` comes first.  ``taken`` (base, unique_id) are rows that have their names
+    already: they keep them and count among the rows of their base.
     """
     cut = [F.lower(empty_as_null(p)) for p in parts]
     named = df.withColumns({f"_part{i}_": p for i, p in enumerate(cut)} | {"_base": F.col(base)})
@@ -63,14 +64,21 @@ def unique_ids(df: DataFrame, base: str, parts: list[Column], order: str = "ord"
     placed = numbered(named, [F.col(order), F.col("_base"), *map(F.col, keys)], "_place", name="places")
     rows = placed.where("_base is not null").select("_base", "_place", *keys)
     counted = numbered(rows, [F.col("_place")], "n", by="_base", name="counts")
+    if taken is not None:
+        seen = taken.groupBy("base").agg(F.count(F.lit(1)).alias("_seen"))
+        counted = counted.join(seen, F.col("_base") == F.col("base"), "left").withColumn("n", F.col("n") + F.coalesce("_seen", F.lit(0))).drop("base", "_seen")
     chain = F.filter(F.array(*keys, F.col("n").cast("string")), lambda p: p.isNotNull())
     first = counted.select(F.col("_place").alias("_row"), F.col("_base").alias("base"), chain.alias("chain"), "n", F.when(F.col("n") == 1, 0).otherwise(1).alias("level"))
     first = staged(first.withColumn("name", proposed(F.col("level"))), "proposals")
 
     made: list[DataFrame] = []  # a written table for each round
+    before = []
+    if taken is not None:  # no row comes before those that have their names
+        kept = {"_row": F.lit(-1), "base": F.col("base"), "name": F.col("unique_id")}
+        before = [taken.where("unique_id is not null").select(*(kept.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in first.schema))]
     fresh = first
     while not fresh.isEmpty():
-        again = losers(fresh, reduce(DataFrame.union, made) if made else None)
+        again = losers(fresh, reduce(DataFrame.union, before + made) if before or made else None)
         made.append(fresh)
         again = again.withColumn("level", F.col("level") + 1)
         fresh = staged(again.withColumn("name", proposed(F.col("level"))), "proposals")

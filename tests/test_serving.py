@@ -30,14 +30,14 @@ def test_as_of_against_brute_force(spark):
 
 
 def test_sketches_add_up(spark):
-    df = spark.range(40_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 9000).alias("v"), F.array(F.col("id") % 500, F.lit(-1)).alias("l"), (F.col("id") * 7 % 40_000).alias("x"))
+    df = spark.range(40_000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 9000).alias("v"), F.array(F.col("id") % 500, F.lit(-1)).alias("l"), (F.col("id") * 7 % 40_000).alias("x"))
     df = df.withColumn("v", F.when(F.col("id") % 2 == 0, F.col("v")))
 
     def made(some):
         return sketches.sketched(some, F.col("g"), {"v": F.col("v")}, {"l": F.col("l")}, {"x": F.col("x")})
 
     whole, halves = made(df), made(df.where("id < 15000")).union(made(df.where("id >= 15000")))
-    exact = df.agg(F.count_distinct("v").alias("v"), F.count_distinct(F.explode("l")) if False else F.lit(501).alias("l")).first()
+    exact = {"v": df.select("v").distinct().where("v is not null").count(), "l": 501}
     for some in (whole, halves):
         one = sketches.united(some, ["v", "l"], ["x"]).select("n", sketches.distinct_count("v").alias("v"), sketches.distinct_count("l").alias("l"), sketches.quantile("x", 0.25).alias("q")).first()
         assert one["n"] == 40_000
@@ -93,7 +93,7 @@ def test_store_asks_for_what_is_missing(spark, tmp_path):
 def test_fields_of_odd_entries(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "short\n   \nLABEL       one\n  more \n\nNEXT LABEL  \n"), ("d", "LONGER LABEL x")], "entry_id string, text string")
     got = [(r["entry_id"], r["field_no"], r["label"], r["values"]) for r in flatfile.fields(df).orderBy("entry_id", "field_no").collect()]
-    assert got == [("c", 1, "LABEL", ["one", "more", "NEXT LABEL"]), ("d", 1, "LONGER LABEL", ["x"])] or got == [("c", 1, "LABEL", ["one", "more"]), ("c", 2, "NEXT LABEL", [""]), ("d", 1, "LONGER LABEL", ["x"])]
+    assert got == [("c", 1, "LABEL", ["one", "more", "NEXT LABEL"]), ("d", 1, "LONGER LABEL", ["x"])]
     assert "Exchange" not in flatfile.fields(df)._jdf.queryExecution().executedPlan().toString()
 
 
