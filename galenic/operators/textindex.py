@@ -1,17 +1,17 @@
 """Search without a scan: a trigram index over the words of a table, and postings by range.
 
-Four written tables: ``rows``, the searched table in slots (the pieces it was read in);
-``postings``, (word, key, slot) by range of word and key; ``words``, each distinct word with
-its number of rows and the ranges its postings stand in; ``grams``, the trigrams of
-the distinct words, by range.
+Three written tables beside the files of the searched one: ``postings``, (word, key, slot)
+by range of word and key, where a slot stands for the file of a row; ``words``, each
+distinct word with its number of rows and the ranges its postings stand in; ``grams``,
+the trigrams of the distinct words, by range.
 
 A query without blanks that a text contains stands inside one of its words; of a query
 with blanks the first piece ends a word, the last begins one and those between
 are words.  Pieces of three characters or more are looked up: the words that have all
 their trigrams are confirmed, their postings read from the ranges named, the keys of
-all pieces intersected, and only the slots they stand in are read, where the query's
-own predicate decides.  So the result is that of the scan, whatever is looked up.
-A query whose pieces are all shorter is answered by the scan.
+all pieces intersected, and only the files they stand in are read, where the
+query's own predicate decides.  So the result is that of the scan, whatever is looked
+up.  A query whose pieces are all shorter is answered by the scan.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galenic.sources.shared import new_path, staged
+from galenic.sources.shared import staged
 
 #: What separates words, in texts and in queries.
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
@@ -46,9 +47,12 @@ def words_of(text: Column) -> Column:
 
 def grams_of(word: Column, size: int = GRAM) -> Column:
     """The distinct stretches of ``size`` characters of a word; none of a shorter one."""
+    starts = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - size + 1)).otherwise(F.expr("cast(array() as array<int>)"))
     letters = F.filter(F.split(word, ""), lambda c: c != "")
-    starts = F.when(F.size(letters) >= size, F.sequence(F.lit(0), F.size(letters) - size)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(letters, i + 1, F.lit(size)), "")))
+    # a stretch is found by counting from the front, so long words are cut into letters first
+    short = F.transform(starts, lambda i: F.substring(word, i, F.lit(size)))
+    long = F.transform(starts, lambda i: F.array_join(F.slice(letters, i, F.lit(size)), ""))
+    return F.array_distinct(F.when(F.length(word) <= 64, short).otherwise(long))
 
 
 def dealt(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -58,22 +62,25 @@ def dealt(df: DataFrame, name: str, *order: str) -> DataFrame:
     return staged(found, name, "_part")
 
 
-def build(df: DataFrame, key: str, hay: Column, columns: list[str]) -> TextIndex:
-    """An index over ``hay``, a text column made of ``columns``; ``key`` tells rows apart.
+def located(df: DataFrame) -> DataFrame:
+    """``df`` with _slot, a number for the file a row stands in; a table that is no plain scan of files is written first."""
+    try:
+        return df.withColumn("_slot", F.xxhash64("_metadata.file_path"))
+    except AnalysisException:
+        return staged(df, "rows").withColumn("_slot", F.xxhash64("_metadata.file_path"))
+
+
+def build(df: DataFrame, key: str, hay: Column) -> TextIndex:
+    """An index over ``hay``, a text made of the columns of ``df``; ``key`` tells rows apart.
 
     Every word of every row is posted.  A word of very many rows reaches over several
     ranges, as its postings are ordered by key too.
     """
-    spark = df.sparkSession
-    named = df.select(F.col(key), *(c for c in columns if c != key), hay.alias("_hay"))
-    path = new_path(spark, "rows")  # in the pieces it was read in: nothing is shuffled
-    named.withColumn("_slot", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("_slot").parquet(path)
-    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in named.schema)}, _slot int").parquet(path)
-
-    posted = dealt(rows.select(F.explode(words_of(F.col("_hay"))).alias("word"), key, "_slot"), "postings", "word", key)
-    ranges = posted.groupBy("word", "_part").agg(F.count(F.lit(1)).alias("n"))
-    words = staged(ranges.groupBy("word").agg(F.sum("n").alias("n"), F.min("_part").alias("low"), F.max("_part").alias("high")), "words")
-    grams = dealt(words.select(F.explode(grams_of(F.col("word"))).alias("gram"), "word", "n", "low", "high"), "grams", "gram", "word")
+    rows = located(df)
+    posted = dealt(rows.select(F.explode(words_of(hay)).alias("word"), F.col(key).alias("_key"), "_slot"), "postings", "word", "_key")
+    words = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("_part").alias("low"), F.max("_part").alias("high"))
+    words = staged(words, "words")
+    grams = dealt(words.select(F.explode(grams_of(F.col("word"))).alias("gram"), "word"), "grams", "gram", "word")
     return TextIndex(rows, posted, words, grams, key)
 
 
@@ -95,12 +102,13 @@ def _stands(word: Column, piece: str, how: str) -> Column:
 def matching_words(index: TextIndex, piece: str, how: str) -> DataFrame:
     """word, n, low, high of the words in which a piece stands, by its trigrams."""
     grams = sorted({piece[i : i + GRAM] for i in range(len(piece) - GRAM + 1)})
-    some = index.grams.where(F.col("gram").isin(grams)).groupBy("word", "n", "low", "high").agg(F.count(F.lit(1)).alias("_held"))
-    return some.where((F.col("_held") == len(grams)) & _stands(F.col("word"), piece, how)).drop("_held")
+    some = index.grams.where(F.col("gram").isin(grams) & _stands(F.col("word"), piece, how))
+    some = some.groupBy(F.col("word").alias("_word")).agg(F.count(F.lit(1)).alias("_held")).where(F.col("_held") == len(grams))
+    return index.words.join(some, F.col("word") == F.col("_word"), "left_semi")
 
 
 def candidates(index: TextIndex, query: str) -> DataFrame | None:
-    """key, _slot of the rows that hold all pieces of a query in lower case; None if no piece can be looked up."""
+    """_key, _slot of the rows that hold all pieces of a query in lower case; None if no piece can be looked up."""
     found = pieces(query)
     if not found:
         return None
@@ -109,20 +117,21 @@ def candidates(index: TextIndex, query: str) -> DataFrame | None:
         words = staged(matching_words(index, piece, how), "matched")
         spans = words.select(F.explode(F.sequence("low", "high")).alias("_part")).distinct().collect()  # a row for each range at most
         posted = index.postings.where(F.col("_part").isin([r["_part"] for r in spans])) if spans else index.postings.limit(0)
-        each.append(posted.join(words.select(F.col("word").alias("_word")), F.col("word") == F.col("_word"), "left_semi").select(index.key, "_slot").distinct())
-    return reduce(lambda a, b: a.join(b, [index.key, "_slot"], "left_semi"), each)
+        each.append(posted.join(words.select(F.col("word").alias("_word")), F.col("word") == F.col("_word"), "left_semi").select("_key", "_slot").distinct())
+    return reduce(lambda a, b: a.join(b, ["_key", "_slot"], "left_semi"), each)
 
 
 def search_indexed(index: TextIndex, query: str, predicate: Column) -> DataFrame:
     """The rows of which ``predicate`` (true only of rows whose text holds the query) is true."""
+    rows = index.rows
+    columns = [c for c in rows.columns if c != "_slot"]
     found = candidates(index, query.lower())
-    columns = [c for c in index.rows.columns if not c.startswith("_")]
     if found is None:
-        return index.rows.where(predicate).select(*columns)
+        return rows.where(predicate).select(*columns)
     found = staged(found, "candidates")
-    slots = [r["_slot"] for r in found.select("_slot").distinct().collect()]  # a row for each piece of the table at most
+    slots = [r["_slot"] for r in found.select("_slot").distinct().collect()]  # a number for each file at most
     if not slots:
-        return index.rows.limit(0).select(*columns)
-    keys = found.select(F.col(index.key).alias("_key"), F.col("_slot").alias("_at"))
-    near = index.rows.where(F.col("_slot").isin(slots))
+        return rows.limit(0).select(*columns)
+    keys = found.select("_key", F.col("_slot").alias("_at"))
+    near = rows.where(F.col("_slot").isin(slots))
     return near.join(keys, F.col(index.key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at")), "left_semi").where(predicate).select(*columns)

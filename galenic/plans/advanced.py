@@ -34,7 +34,7 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three searches, each answered by the index over the documents."""
     d = table(spark, sf_dir, "documents")
     hay = filters.haystack_of(F.col("source"), F.col("lang"), F.col("text"))
-    index = textindex.build(d, "doc_id", hay, ["source", "lang", "text"])
+    index = textindex.build(d.select("doc_id", "source", "lang", "text"), "doc_id", hay)
     found = []
     for name, q in SEARCHES:
         q = q.strip().lower()
