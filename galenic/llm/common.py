@@ -125,7 +125,14 @@ def blocked(members: DataFrame, group: str, member: str, rows: int, weight: str
 ALONE, LEFT, RIGHT = 0, 1, 2
 
 
-def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    dealt: DataFrame,
+    group: str,
+    member: str,
+    rows: int,
+    compare: Callable[[DataFrame], DataFrame],
+    near: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """src, dst: edges that join the members of each group as all links within it do.
 
     ``dealt`` is a written table of ``blocked`` with what ``compare`` needs;
@@ -140,7 +147,10 @@ def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callab
         travels once.
     2.  What is not joined with that member is held against all others of its
         group, in pairs of blocks.  In a group of near copies little or nothing
-        is left, and rows are copied as often as blocks of that little.
+        is left, and rows are copied as often as blocks of that little.  In a
+        group whose members are not alike much is left: ``near`` gets those members
+        (group, member) and gives all members (and left, whether they are among
+        them) that a link with one of them is possible for; the others stay out.
     """
     many = dealt.where("_blocks > 1")
     heads = many.groupBy(group).agg(F.min(member).alias("_head"))
@@ -156,6 +166,15 @@ def linked(dealt: DataFrame, group: str, member: str, rows: int, compare: Callab
     rest = whose.join(found, (F.col(member) == F.col("_src")) & (F.col("_head") == F.col("_dst")), "left_anti").select(group, member)
     # both tables of members: those left over, in blocks of their own, and all, in the blocks they have
     rest = staged(rest, "rest")
+    if near and not rest.isEmpty():
+        found = staged(near(rest), "near")
+        rest = found.where("left").select(group, member)
+        # as many blocks fewer as there are members fewer
+        before = many.groupBy(group).agg(F.count(F.lit(1)).alias("_all"))
+        share = found.groupBy(group).agg(F.count(F.lit(1)).alias("_some")).join(before, group)
+        many = many.join(found.select(group, member), [group, member], "left_semi").join(share, group)
+        many = many.withColumn("_blocks", F.ceil(F.col("_blocks") * F.col("_some") / F.col("_all")).cast("int")).drop("_some", "_all")
+        many = staged(many.withColumn("_mine", F.pmod("_mine", "_blocks")), "many")
     sizes = staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "sizes")
     if sizes.isEmpty():
         return first

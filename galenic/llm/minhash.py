@@ -12,8 +12,10 @@
     are candidates.  Long lists are dealt out in bounded blocks that all meet
     one member of the list, and only what that member does not join goes on to
     pairs of blocks (``common.linked``).
-4.  In each cluster of candidates full sets are compared, in the same way.
-    Components of those links are the result.
+4.  In each cluster of candidates full sets are compared, in the same way; of
+    large clusters, what the first member does not join goes on only if it shares
+    one of its rarest shingles (prefix) with another.  Components of those links are
+    the result.
 
 t lies 4.5 standard deviations below what a pair at the threshold expects, so
 a pair is missed with a probability of about one in 100,000; pairs are never
@@ -242,7 +244,44 @@ def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> Dat
 
         return dealt.select("cluster", "block", "other", "side", "cls", "found").mapInArrow(run, "src bigint, dst bigint")
 
-    return linked(full, "cluster", "cls", CLUSTER_ROWS, compare)
+    return linked(full, "cluster", "cls", CLUSTER_ROWS, compare, lambda rest: prefixed(full, rest, percent))
+
+
+def prefixed(full: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """cluster, cls, left: members of clusters that may be linked with one of ``rest``, and whether they are among it.
+
+    A set of n shingles that is linked with another shares at least need = percent / 100
+    of n with it, and with one that is not smaller 2 * percent / (100 + percent) of n; so
+    the two share one of the n - need + 1 shingles that come first in any order, and
+    it is among still fewer of the smaller set.  The order is by how many of ``rest``
+    hold a shingle: what none of them holds comes first and meets nothing.
+    """
+
+    def shingled(some: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    sets = [np.frombuffer(b, dtype=np.int64) for b in part.column("found").to_pylist()]
+                    n = np.array([len(s) for s in sets])
+                    owner = pa.array(np.repeat(np.arange(len(sets)), n))
+                    yield pa.RecordBatch.from_arrays([part.column("cluster").take(owner), part.column("cls").take(owner), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["cluster", "cls", "n", "shingle"])
+
+        return some.select("cluster", "cls", "found").mapInArrow(run, "cluster bigint, cls bigint, n bigint, shingle bigint")
+
+    key = ["cluster", "shingle"]
+    counts = staged(shingled(full.join(rest, ["cluster", "cls"], "left_semi")).groupBy(*key).agg(F.count(F.lit(1)).alias("held")), "held")
+    of_large = full.join(rest.select("cluster").distinct(), "cluster", "left_semi")
+    shared = shingled(of_large).join(counts, key)
+    each = Window.partitionBy("cluster", "cls")
+    place = F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("held", "shingle"))
+    within = lambda a, b: F.col("_place") <= F.col("n") - F.ceil(F.col("n") * a / b) + 1  # noqa: E731  the product first, so that whole shares stay whole
+    first = shared.withColumn("_place", place).where(within(percent, 100)).select(*key, "cls", within(2 * percent, 100 + percent).alias("few"))
+    left = rest.select(F.col("cluster").alias("_cluster"), F.col("cls").alias("_cls"))
+    first = first.join(left, (F.col("cluster") == F.col("_cluster")) & (F.col("cls") == F.col("_cls")), "left").select(*key, "cls", "few", F.col("_cls").isNotNull().alias("left"))
+    first = staged(first, "prefixes")
+    met = first.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("left").alias("_any"), F.max("few").alias("_few")).where("_n > 1 and _any and _few").select(*key)
+    return first.join(met, key, "left_semi").groupBy("cluster", "cls").agg(F.max("left").alias("left"))
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

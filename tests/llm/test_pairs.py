@@ -121,6 +121,24 @@ def test_documents_of_one_id(docs):
     assert len(both) == 1
 
 
+def test_large_clusters_of_templates(spark, docs, monkeypatch):
+    """Documents of one template, none a link, and a few near copies among them: only what shares rare shingles goes on."""
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", 8)
+    rng = random.Random(9)
+    seen = []
+    whole = minhash.prefixed
+    monkeypatch.setattr(minhash, "prefixed", lambda *a: seen.append(common.staged(whole(*a), "seen")) or seen[-1])
+    template = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = [template[:75] + [f"own{i} {rng.randrange(10**9)}" for _ in range(14)] + template[75:] for i in range(60)]
+    texts += [[*t[:80], "other", *t[81:]] for t in texts[20:24]]
+    texts = [" ".join(t) for t in texts]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs(texts)).collect())
+    n, low = brute_documents(texts, 5, 80)
+    assert got == [(i, n[i], low[i], low[i] == i) for i in range(len(texts))] and len(set(low)) == 60
+    if seen:  # the templates may not even have become candidates
+        assert sum(df.count() for df in seen) <= 16
+
+
 def test_documents_without_id(docs):
     """Links do not depend on ids: near copies without one join their group, and a group of such rows keeps one."""
     rng = random.Random(8)
