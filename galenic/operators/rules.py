@@ -2,20 +2,24 @@
 
 Rules are rows of rank, keyword, value and whole (the keyword must stand as a word of its
 own, between characters that are no letters, digits or underscores; keywords with
-blanks count anywhere).  Neither the plan nor a task grows with them: texts are reduced to their distinct words, and
-rules are matched against the distinct words of the corpus by trigrams.
+blanks count anywhere).  Neither the plan nor a task grows with them: rules are
+matched against the distinct words of the corpus, by trigrams.
 
 1.  A keyword without blanks that a text contains stands inside one of its words.  It is
     posted under one of its trigrams, the one that fewest distinct words have, joined
     with the words' trigrams and confirmed on the word.
 2.  A word's first rule is the smallest rank of its matches (``min``), a text's
     first rule the smallest of its words.
-3.  A keyword with blanks is looked up by its longest piece, at the end, the start or
-    the whole of a word, and confirmed on the text, of which one copy is read.
+3.  Of the keywords with blanks the first ``DIRECT`` are looked for in every text.  Those
+    behind them matter only to texts whose rank so far is larger, or that have none:
+    there they are looked up by their longest piece, at the end, the start or the
+    whole of a word, and confirmed on the text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from galenic.functions.classify import AFTER, BEFORE
 from galenic.operators.textindex import BLANK, GRAM, grams_of, words_of
 from galenic.sources.shared import staged
 
+#: Keywords with blanks that are looked for in every text.
+DIRECT = 64
 #: Characters of a word, as in the boundaries of ``classify``.
 LETTER = r"\p{L}\p{N}_"
 RULES = "rank int, keyword string, value string, whole boolean"
@@ -67,6 +73,17 @@ def word_rules(words: DataFrame, rules: DataFrame) -> DataFrame:
     return met.where(stands).select("word", "rank", "keyword", (F.col("how") == "inside").alias("single"))
 
 
+def first_of(text: Column, asked: Column) -> Column:
+    """The smallest rank of ``asked`` (array of rank, keyword; in order) whose keyword stands in ``text``, in lower case once for all."""
+    of = lambda lowered: F.get(F.filter(asked, lambda m: F.contains(lowered, m["keyword"])), F.lit(0))["rank"]
+    return F.get(F.transform(F.array(F.lower(text)), of), F.lit(0))
+
+
+def smallest(*found: DataFrame) -> DataFrame:
+    """_key, rank: the smallest rank of each key."""
+    return reduce(DataFrame.union, (f.select("_key", "rank") for f in found)).where("rank is not null").groupBy("_key").agg(F.min("rank").alias("rank"))
+
+
 def first_rule(df: DataFrame, key: str, text: Column, rules: DataFrame) -> DataFrame:
     """key, value of every row of ``df``: that of the first rule whose keyword stands in ``text``, else null.
 
@@ -74,21 +91,30 @@ def first_rule(df: DataFrame, key: str, text: Column, rules: DataFrame) -> DataF
     """
     rules = staged(rules.select("rank", "keyword", "value", "whole"), "given")
     texts = df.select(F.col(key).alias("_key"), text.alias("_text"))
-    held = staged(texts.select("_key", words_of(F.col("_text")).alias("words")), "words")
-    each = held.select("_key", F.explode("words").alias("word"))
-    words = staged(each.select("word").distinct(), "distinct")
-    matches = staged(word_rules(words, keyed(rules)), "matches")
+    asked = keyed(rules)
+    words = staged(texts.select(F.explode(words_of(F.col("_text"))).alias("word")).distinct(), "distinct")
+    matches = staged(word_rules(words, asked), "matches")
 
     single = matches.where("single").groupBy("word").agg(F.min("rank").alias("rank")).withColumnRenamed("word", "_word")
+    each = texts.select("_key", F.explode(words_of(F.col("_text"))).alias("word"))
     found = each.join(single, F.col("word") == F.col("_word")).groupBy("_key").agg(F.min("rank").alias("rank"))
-    several = matches.where("not single").select(F.col("word").alias("_word"), "rank", "keyword")
-    if not several.isEmpty():
+    several = asked.where("how <> 'inside'")
+    first = several.orderBy("rank").limit(DIRECT + 1).collect()
+    if first:
+        direct = F.array(*(F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["keyword"]).alias("keyword")) for r in first[:DIRECT]))
+        found = smallest(found, texts.select("_key", first_of(F.col("_text"), direct).alias("rank")))
+    if len(first) > DIRECT:
         found = staged(found, "single")
-        maybe = each.join(several, F.col("word") == F.col("_word")).groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("rank", "keyword"))).alias("maybe"))  # of the keywords with blanks
-        lowered = texts.select(F.col("_key").alias("_row"), F.lower("_text").alias("_lower"))
-        first = F.get(F.filter("maybe", lambda m: F.contains("_lower", m["keyword"])), F.lit(0))["rank"]
-        longer = lowered.join(maybe, F.col("_row") == F.col("_key")).select("_key", first.alias("rank"))
-        found = found.union(longer.where("rank is not null")).groupBy("_key").agg(F.min("rank").alias("rank"))
+        settled = found.where(F.col("rank") < first[-1]["rank"]).select(F.col("_key").alias("_done"))
+        open_ = staged(texts.select(F.col("_key").alias("_open")).join(settled, F.col("_open") == F.col("_done"), "left_anti"), "open")  # keys alone, so that texts stay where they are if these are few
+        rest = texts.join(open_, F.col("_key") == F.col("_open"), "left_semi")
+        by_word = matches.where(~F.col("single") & (F.col("rank") >= first[-1]["rank"])).groupBy(F.col("word").alias("_word")).agg(F.collect_set(F.struct("rank", "keyword")).alias("asked"))
+        met = rest.select("_key", F.explode(words_of(F.col("_text"))).alias("word")).join(by_word, F.col("word") == F.col("_word")).select("_key", F.explode("asked").alias("asked"))
+        best = found.select(F.col("_key").alias("_best"), F.col("rank").alias("_rank"))
+        met = met.join(best, F.col("_key") == F.col("_best"), "left").where(F.col("_rank").isNull() | (F.col("asked.rank") < F.col("_rank")))
+        met = met.groupBy(F.col("_key").alias("_row")).agg(F.array_sort(F.collect_set("asked")).alias("asked"))  # of the keywords with blanks
+        longer = rest.join(met, F.col("_key") == F.col("_row")).select("_key", first_of(F.col("_text"), F.col("asked")).alias("rank"))
+        found = smallest(found, longer)
     values = rules.groupBy("rank").agg(F.first("value").alias("value")).withColumnRenamed("rank", "_rank")
     named = found.join(values, F.col("rank") == F.col("_rank")).select(F.col("_key").alias("_found"), "value")
     return df.select(F.col(key)).join(named, F.col(key) == F.col("_found"), "left").select(key, "value")

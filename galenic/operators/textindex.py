@@ -42,7 +42,7 @@ class TextIndex:
 
 def words_of(text: Column) -> Column:
     """The distinct words of a text in lower case."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), BLANK)), lambda w: w != "")
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), BLANK)), "")
 
 
 def grams_of(word: Column, size: int = GRAM) -> Column:
