@@ -121,6 +121,8 @@ def blocked(members: DataFrame, group: str, member: str, rows: int, weight: str
     return found.withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks").cast("long")).cast("int"))
 
 
+#: Blocks of what is left of a group up to which every other member just meets them all.
+FEW = 2
 #: What a block holds of a group: members alone, members to be held against others, and those others.
 ALONE, LEFT, RIGHT = 0, 1, 2
 
@@ -148,9 +150,10 @@ def linked(
     2.  What is not joined with that member is held against all others of its
         group, in pairs of blocks.  In a group of near copies little or nothing
         is left, and rows are copied as often as blocks of that little.  In a
-        group whose members are not alike much is left: ``near`` gets those members
-        (group, member) and gives all members (and left, whether they are among
-        them) that a link with one of them is possible for; the others stay out.
+        group whose members are not alike much is left.  Where it is more than
+        ``FEW`` blocks, ``near`` gets those members (group, member) and gives all
+        members (and left, whether they are among them) that a link with one of
+        them is possible for; the others stay out.
     """
     many = dealt.where("_blocks > 1")
     heads = many.groupBy(group).agg(F.min(member).alias("_head"))
@@ -166,16 +169,19 @@ def linked(
     rest = whose.join(found, (F.col(member) == F.col("_src")) & (F.col("_head") == F.col("_dst")), "left_anti").select(group, member)
     # both tables of members: those left over, in blocks of their own, and all, in the blocks they have
     rest = staged(rest, "rest")
-    if near and not rest.isEmpty():
-        found = staged(near(rest), "near")
-        rest = found.where("left").select(group, member)
+    counted = lambda: staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "sizes")
+    sizes = counted()
+    wide = sizes.where(F.col("_rest") > FEW).select(group)
+    if near and not wide.isEmpty():
+        found = staged(near(rest.join(wide, group, "left_semi").select(group, member)), "near")
+        rest = staged(rest.join(wide, group, "left_anti").select(group, member).union(found.where("left").select(group, member)), "rest")
+        sizes = counted()
         # as many blocks fewer as there are members fewer
         before = many.groupBy(group).agg(F.count(F.lit(1)).alias("_all"))
         share = found.groupBy(group).agg(F.count(F.lit(1)).alias("_some")).join(before, group)
-        many = many.join(found.select(group, member), [group, member], "left_semi").join(share, group)
-        many = many.withColumn("_blocks", F.ceil(F.col("_blocks") * F.col("_some") / F.col("_all")).cast("int")).drop("_some", "_all")
-        many = staged(many.withColumn("_mine", F.pmod("_mine", "_blocks")), "many")
-    sizes = staged(rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rest")), "sizes")
+        fewer = many.join(found.select(group, member), [group, member], "left_semi").join(share, group)
+        fewer = fewer.withColumn("_blocks", F.ceil(F.col("_blocks") * F.col("_some") / F.col("_all")).cast("int")).withColumn("_mine", F.pmod("_mine", "_blocks"))
+        many = staged(many.join(wide, group, "left_anti").unionByName(fewer.select(*dealt.columns)), "many")
     if sizes.isEmpty():
         return first
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
