@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galenic.functions.text import present, strip
+from galenic.functions.text import bound, present, strip
 
 
 def dedupe_caseless(values: Column) -> Column:
-    """First spelling of each value whatever its case; empty and null elements go."""
+    """First spelling of each value whatever its case; empty and null elements go.
+
+    Values are sorted by lower case and place, the first of each case stays, and what
+    stays is sorted by place: n log n, for texts of any number of words.
+    """
     full = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    lowered = F.transform(full, F.lower)
-    return F.filter(full, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    keyed = F.sort_array(F.transform(full, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    firsts = bound(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | (x["k"] != F.get(s, j - 1)["k"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
 
 
 def unique(values: Column) -> Column:

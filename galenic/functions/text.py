@@ -11,6 +11,11 @@ WHITE = "\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202
 CODE = "[A-Z][0-9]{2}[A-Z]{2}[0-9]{2}"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` looks at it: functions of arrays look at their arguments anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")

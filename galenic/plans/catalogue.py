@@ -260,7 +260,8 @@ def clean_names(spark, sf_dir):
 )
 def dedupe_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", arrays.dedupe_caseless(F.split("text", " ")).alias("l"))
-    return d.select("doc_id", F.size("l").cast("long").alias("n"), F.sha2(joined(F.col("l")).cast("binary"), 256).alias("words_sha"))
+    words = F.coalesce("l", F.expr("cast(array() as array<string>)"))  # a null text has none
+    return d.select("doc_id", F.size(words).cast("long").alias("n"), F.sha2(joined(words).cast("binary"), 256).alias("words_sha"))
 
 
 EDGE_CODES = [(-1, "A10BA02; N02BE01"), (-2, "a10ba02"), (-3, "Adopted 1987, 2003"), (-4, "in 20031 or x1999"), (-5, "")]
