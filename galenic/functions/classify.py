@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galenic.functions.text import bound
 from galenic.functions.vocab import CATEGORY_REGIONS, CODE_SUFFIX, FALLBACK_REGION, INDICATION_RULES, REGION_RULES, TISSUE_RULES
 
 #: Word boundaries for letters of every script, alike in all regular expression dialects.
@@ -39,15 +40,14 @@ def category_of_tissue(text: Column) -> Column:
 
 def region_of_text(text: Column) -> Column:
     """Keywords with a blank anywhere, the others as whole words."""
-    lowered = F.lower(text)
 
-    def rule(words: tuple[str, ...]) -> Column:
+    def rule(lowered: Column, words: tuple[str, ...]) -> Column:
         whole = [w for w in words if " " not in w]
         tests = [F.contains(lowered, F.lit(w)) for w in words if " " in w]
         # a plain search first: most texts hold none of the words, and need no regular expression
         return reduce(lambda a, b: a | b, [*tests, holds_any(lowered, whole) & lowered.rlike(f"{BEFORE}({'|'.join(whole)}){AFTER}")])
 
-    return first_match((region, rule(words)) for region, words in REGION_RULES)
+    return bound(F.lower(text), lambda lowered: first_match((region, rule(lowered, words)) for region, words in REGION_RULES))
 
 
 def generation(year: Column) -> Column:

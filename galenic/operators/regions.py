@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from galenic.functions.arrays import listed, ranks
 from galenic.functions.classify import category_regions, region_of_text
-from galenic.functions.text import present
+from galenic.functions.text import bound, present
 
 
 def score_map(text: Column) -> Column:
     """A JSON object as map<string, string>; anything unreadable is empty."""
-    parsed = F.from_json(text, "map<string,string>")
-    return F.when(present(text), F.coalesce(parsed, F.expr("cast(map() as map<string,string>)"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    parsed = F.when(present(text), F.from_json(text, "map<string,string>"))
+    return F.coalesce(parsed, F.expr("cast(map() as map<string,string>)"))
 
 
 def _hits(pairs: Column) -> Column:
@@ -25,12 +25,15 @@ def _hits(pairs: Column) -> Column:
 def _ordered(hits: Column) -> Column:
     """Regions by their largest score, which is at least 0; ties by name."""
 
-    def best(region: Column) -> Column:
-        scores = F.transform(F.filter(hits, lambda h: h["region"] == region), lambda h: h["score"])
-        return F.struct((-F.greatest(F.lit(0.0), F.array_max(scores))).alias("less"), region.alias("region"))
+    def by_score(hits: Column) -> Column:
+        def best(region: Column) -> Column:
+            scores = F.transform(F.filter(hits, lambda h: h["region"] == region), lambda h: h["score"])
+            return F.struct((-F.greatest(F.lit(0.0), F.array_max(scores))).alias("less"), region.alias("region"))
 
-    names = F.array_distinct(F.transform(hits, lambda h: h["region"]))
-    return F.transform(F.array_sort(F.transform(names, best)), lambda b: b["region"])
+        names = F.array_distinct(F.transform(hits, lambda h: h["region"]))
+        return F.transform(F.array_sort(F.transform(names, best)), lambda b: b["region"])
+
+    return bound(hits, by_score)
 
 
 def body_regions(scores: Column, tissues: Column, outcomes: Column, category: Column) -> Column:
@@ -39,9 +42,9 @@ def body_regions(scores: Column, tissues: Column, outcomes: Column, category: Co
     scored = F.transform(F.map_entries(score_map(scores)), lambda e: F.struct(e["key"].alias("value"), e["value"].try_cast("double").alias("score")))
     in_order = F.transform(ranks(listed(tissues)), lambda r: F.struct(r["value"].alias("value"), r["rank"].cast("double").alias("score")))
     tiers = [_ordered(_hits(scored)), _ordered(_hits(in_order))]
-    named = region_of_text(outcomes)
-    whole = F.when(named.isNotNull(), F.array(named))
-    return F.coalesce(*(F.when(F.size(t) > 0, t) for t in tiers), whole, category_regions(category))
+    whole = F.array_compact(F.array(region_of_text(outcomes)))
+    # each tier is computed once, and only where those before it are empty
+    return F.coalesce(*(bound(t, lambda found: F.when(F.size(found) > 0, found)) for t in (*tiers, whole)), category_regions(category))
 
 
 def unreadable(scores: Column) -> Column:

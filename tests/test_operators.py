@@ -117,6 +117,13 @@ def test_body_regions(spark):
     assert bad == [False, False, False, True, False]
 
 
+def test_body_regions_look_once(spark):
+    """Scores are parsed once, and each tier asks once for the regions of its words."""
+    df = spark.createDataFrame([], "s string, t string, o string, c string")
+    plan = df.select(regions.body_regions(*(F.col(x) for x in "stoc")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("jsontostructs") + plan.count("from_json(") == 1 and plan.count("lower(") == 3
+
+
 def test_presentation(spark):
     df = spark.createDataFrame([("s", "i", "L", "A"), ("", " pain ", "L", "A"), (None, "approved", "L", ""), (None, None, "L", "B")], "s string, i string, l string, c string")
     got = [r["x"] for r in df.select(present.public_summary(*(F.col(x) for x in "silc")).alias("x")).collect()]
