@@ -27,7 +27,7 @@ def unique(values: Column) -> Column:
 
 def synonyms(names: Column, most: int = 5) -> Column:
     """The names after the first, distinct whatever their case, at most ``most``."""
-    return F.slice(dedupe_caseless(F.slice(names, F.lit(2), F.greatest(F.size(names), F.lit(0)))), 1, most)
+    return F.slice(dedupe_caseless(F.slice(names, F.lit(2), F.lit(1 << 30))), 1, most)
 
 
 def listed(text: Column) -> Column:

@@ -94,6 +94,18 @@ def test_caseless_words_of_a_long_text(spark, tmp_path):
     assert got == {1: (len(first), sha("|".join(first.values()))), 2: (0, sha("")), 3: (0, sha(""))}
 
 
+def plan(spark, expr, kind="string"):
+    return spark.createDataFrame([], f"v {kind}").select(expr(F.col("v")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_cleaned_once(spark):
+    """Functions of arrays look at their arguments anew for each element: what they share is bound."""
+    names = lambda v: arrays.synonyms(arrays.dedupe_caseless(F.transform(F.split(v, ","), lambda x: F.upper(x))))
+    assert plan(spark, names).count("upper(") == 1
+    cleaned = plan(spark, text.clean_name)
+    assert cleaned.count("btrim(") + cleaned.count("trim(both") <= 1 and cleaned.count("split(") == 1
+
+
 def test_codes_and_years(spark):
     assert column(spark, ["A10BA02 x N02BE01", "a10ba02"], text.codes) == [["A10BA02", "N02BE01"], []]
     values = ["Adopted 1987, 2003", "x1999", "20031", "", "1950"]
