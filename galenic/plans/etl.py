@@ -11,6 +11,7 @@ from galenic.functions import arrays, classify, text
 from galenic.functions.vocab import FALLBACK_CODE
 from galenic.operators import filters, ids, lookups, regions
 from galenic.sources import flatfile
+from galenic.sources.shared import staged
 
 NO_LIST = "cast(array() as array<string>)"
 
@@ -71,7 +72,8 @@ def build(
     approved = filters.approved(compounds)
     if limit:
         approved = approved.orderBy("ord").limit(limit)
-    parsed = flatfile.interpret(entries, whole_years) if entries is not None else None
+    # read three times, for two kinds of names and for facts
+    parsed = staged(flatfile.interpret(entries, whole_years), "entries") if entries is not None else None
     rows = named(approved, drug_names, compound_names, parsed).withColumn("id", text.slug(F.col("name")))
     if parsed is not None:
         facts = parsed.select(F.col("entry_id").alias("_entry"), "atc_codes", "year_approved", F.col("indication").alias("_told"))
@@ -79,16 +81,15 @@ def build(
     else:
         rows = rows.withColumns({"atc_codes": F.lit(None).cast("array<string>"), "year_approved": F.lit(None).cast("int"), "_told": F.lit(None).cast("string")})
     rows = reject_reason(rows)
-    kept = rows.where("reason is null")
 
     outcomes = F.when(text.present(F.col("trialbench_outcomes")), F.col("trialbench_outcomes"))
     by_text = classify.category_of_indication(outcomes)
     by_tissue = classify.category_of_tissue(F.col("tissues_union"))
     code = F.coalesce(F.get("atc_codes", F.lit(0)), classify.code_of_category(by_text), classify.code_of_category(by_tissue), F.lit(FALLBACK_CODE))
-    kept = kept.withColumn("atc_code", code).withColumn("atc_category", F.left("atc_code", F.lit(1)))
-    kept = kept.withColumn("_regions", regions.body_regions(F.col("tissue_scores"), F.col("tissues_union"), F.col("trialbench_outcomes"), F.col("atc_category")))
+    rows = rows.withColumn("atc_code", code).withColumn("atc_category", F.left("atc_code", F.lit(1)))
+    rows = rows.withColumn("_regions", regions.body_regions(F.col("tissue_scores"), F.col("tissues_union"), F.col("trialbench_outcomes"), F.col("atc_category")))
     first_outcome = F.left(text.strip(F.get(F.split(outcomes, ","), F.lit(0))), F.lit(200))
-    drugs = kept.select(
+    rows = rows.select(
         "ord",
         "id",
         "name",
@@ -110,7 +111,11 @@ def build(
         F.slice("_regions", F.lit(2), F.size("_regions")).alias("secondary_body_regions"),
         text.empty_as_null(text.strip(F.col("kegg_drug_id"))).alias("kegg_id"),
         "atc_codes",
+        "reason",
     )
-    unique = ids.unique_ids(drugs, "id", [F.col("kegg_id"), F.col("inchikey")])
+    # written once: a range partitioning reads what it deals out twice, and a condition on reason would be worked out beside the columns it is made of
+    rows = staged(rows, "compounds")
+    kept = rows.where("reason is null").drop("reason")
+    unique = ids.unique_ids(kept, "id", [F.col("kegg_id"), F.col("inchikey")])
     drugs = unique.withColumn("id", F.col("unique_id")).drop("unique_id")
     return Catalogue(drugs, rows.where("reason is not null").select("ord", "name", "reason"), approved)

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from galenic.plans import registry
 from galenic.plans.etl import build
@@ -72,6 +73,16 @@ def test_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 6
 
 
+def test_batch_is_worked_out_once(spark):
+    """Names, rejects and everything behind them are read from one written table."""
+    rows = spark.createDataFrame([(1, "approved", "A one, B", "C", "K1"), (2, "approved", "B", None, "K2")], "ord long, approval_status string, trialbench_drug_names string, canonical_smiles string, inchikey string")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in tables.COMPOUND_COLUMNS if c not in rows.columns})
+    found = build(rows)
+    plan = found.rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan
+    assert [tuple(r) for r in found.rejects.collect()] == [(2, "B", "no structure")] and [r["id"] for r in found.drugs.collect()] == ["a-one"]
+
+
 def test_bundles(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"drugs": [{"id": "a", "name": "A", "atc_code": "A", "atc_category": "A", "class_name": "k"}, {"id": "b", "name": "B"}]}')
     path = str(tmp_path / "b.json")
