@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galenic.functions.classify import AFTER, BEFORE
+from galenic.functions.text import bound
 from galenic.operators.textindex import BLANK, GRAM, grams_of, words_of
 from galenic.sources.shared import staged
 
@@ -74,9 +75,11 @@ def word_rules(words: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def first_of(text: Column, asked: Column) -> Column:
-    """The smallest rank of ``asked`` (array of rank, keyword; in order) whose keyword stands in ``text``, in lower case once for all."""
-    of = lambda lowered: F.get(F.filter(asked, lambda m: F.contains(lowered, m["keyword"])), F.lit(0))["rank"]
-    return F.get(F.transform(F.array(F.lower(text)), of), F.lit(0))
+    """The smallest rank of ``asked`` (array of rank, keyword; in order) whose keyword stands in ``text``, in lower case once for all.
+
+    Those behind the first that stands there are not looked for."""
+    look = lambda lowered: lambda found, m: F.when(found.isNotNull(), found).when(F.contains(lowered, m["keyword"]), m["rank"])
+    return bound(F.lower(text), lambda lowered: F.aggregate(asked, F.lit(None).cast("int"), look(lowered)))
 
 
 def smallest(*found: DataFrame) -> DataFrame:

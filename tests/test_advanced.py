@@ -156,6 +156,15 @@ def test_rules_against_brute_force(spark, monkeypatch, direct):
     assert {r["value"] for r in rules.first_rule(df, "k", F.col("text"), table.limit(0)).collect()} == {None}
 
 
+def test_keywords_behind_the_first_are_not_looked_for(spark):
+    """The first keyword that stands in a text ends the search: those behind it cost a whole text each."""
+    asked = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword")) for i, k in ((3, "x y"), (5, "b c"), (9, "c d"))))
+    df = spark.createDataFrame([("A B c D",), ("c d",), ("none",), (None,)], "t string").select(rules.first_of(F.col("t"), asked).alias("o"))
+    assert [r["o"] for r in df.collect()] == [5, 9, None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(" not in plan
+
+
 def test_plan_does_not_grow_with_rules(spark):
     df = spark.createDataFrame([(1, "the end")], "k long, text string")
     sizes = []
