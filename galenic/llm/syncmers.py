@@ -108,11 +108,13 @@ def _runs(points: str) -> str:
 
 
 def code_points(text: str) -> str:
-    return rf"split(translate({text}, '\t\n\u000b\f\r', '     '), '')"
+    for c in (r"\t", r"\n", r"\u000b", r"\u000c", r"\r"):  # whole texts are searched for each, which costs less than a look-up for each character
+        text = f"replace({text}, '{c}', ' ')"
+    return f"split({text}, '')"
 
 
 def blank(text: str) -> str:
-    return rf"(btrim({text}, ' \t\n\u000b\f\r') = '')"
+    return rf"(btrim({text}, ' \t\n\u000b\u000c\r') = '')"
 
 
 def places(text: str) -> str:
@@ -146,7 +148,10 @@ def counted(found: str) -> str:
     """array<bigint>: for each anchor, in the order of their hashes, a number
     made of its hash and how many places of the hash come before."""
     head = "i = 0 or shiftright(get(p, i), 32) <> shiftright(get(p, i - 1), 32)"
-    group = "transform(sequence(0, coalesce(get(starts, j + 1), size(p)) - start - 1), o -> xxhash64(shiftright(get(p, start), 32), o))"
+    mark = "xxhash64(shiftright(get(p, start), 32), {})"
+    last = "coalesce(get(starts, j + 1), size(p)) - start - 1"
+    # most hashes have one place, and need no sequence
+    group = f"case when {last} = 0 then array({mark.format(0)}) else transform(sequence(0, {last}), o -> {mark.format('o')}) end"
     each = let(f"filter(sequence(0, size(p) - 1), i -> {head})", "starts", f"flatten(transform(starts, (start, j) -> {group}))")
     return let(found, "p", f"case when size(p) = 0 then p else {each} end")
 

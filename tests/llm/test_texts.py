@@ -389,3 +389,16 @@ def test_logistic_of_separable_points():
         p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
         assert np.isfinite(w).all() and ((p > 0.5) == (y == 1)).all()
     assert len(quality.logistic(np.zeros((0, 4)), np.zeros(0))) == 5
+
+
+def test_syncmers_cut_texts_without_a_look_up_for_each_character(spark):
+    """All blanks count as spaces, and a hash of one place needs no sequence."""
+    from galenic.llm import syncmers
+
+    df = spark.createDataFrame([(" a\tb\n\x0bc\x0cd\re\\fä\U0001f600",)], "text string")
+    assert list("".join(df.selectExpr(f"{syncmers.code_points('text')} as c").first()["c"])) == list(" a b  c d e\\fä\U0001f600")
+    assert "translate" not in syncmers.code_points("text")
+    assert list(spark.sql(f"SELECT {syncmers.blank(chr(39) + 'ff' + chr(39))}, {syncmers.blank('chr(12)')}").first()) == [False, True]  # the letter is no form feed
+    h = 7 << 32
+    marks = spark.sql(f"SELECT {syncmers.counted(f'array(1L, {h}L, {h + 5}L, {h + 9}L, {8 << 32}L)')} AS m, array(xxhash64(0L, 0), xxhash64(7L, 0), xxhash64(7L, 1), xxhash64(7L, 2), xxhash64(8L, 0)) AS want").first()
+    assert marks["m"] == marks["want"]
