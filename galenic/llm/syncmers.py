@@ -91,20 +91,17 @@ def _packed(value: str, place: str) -> str:
 def _runs(points: str) -> str:
     """array<bigint>: the runs of the code points that are anchors, in the order of their hashes; hash in the upper, place in the lower half."""
     wide = K - S
-
-    def least(v: str, at: str, step: int) -> str:
-        """Whether v is not above any of the inner values; most are decided by the first few."""
-        return " and ".join(f"{v} <= get(g, {at} + {step * j})" for j in range(1, wide))
-
-    left = f"case when {least('v', 'i', 1)} and get(g, i + {wide}) is not null then i end"
-    # only of runs that are no anchors by their left edge
-    right = f"case when {least('v', 'i', -1)} and get(g, i - {wide}) is not null and not ({least(f'get(g, i - {wide})', f'i - {wide}', 1)}) then i - {wide} end"
-    starts = ", ".join(f"filter(transform(g, (v, i) -> {edge}), i -> i is not null)" for edge in (left, right))
-    whole = ", ".join(f"get(g, i + {j})" for j in range(0, wide + 1, S))
-    found = f"sort_array(transform(concat({starts}), i -> {_packed(f'xxhash64({whole})', 'i')}))"
     inner = ", ".join(f"get({points}, i + {j})" for j in range(S))
     hashes = f"transform(sequence(0, size({points}) - {S}), i -> xxhash64({inner}))"
-    return f"case when size({points}) >= {K} then {let(hashes, 'g', found)} else cast(array() as array<bigint>) end"
+    # m has the smaller of each two neighbours, so that half as many values decide; of most runs the first few do
+    pairs = "zip_with(g, slice(g, 2, size(g)), (a, b) -> least(a, b))"
+    between = [*range(1, wide - 1, 2), *[wide - 2] * (wide % 2 == 0)]
+    least = lambda v: " and ".join(f"{v} <= get(m, i + {j})" for j in between)
+    first, last = "get(g, i)", f"get(g, i + {wide})"
+    closed = f"case when {first} <= {last} then {least(first)} else {least(last)} end"
+    whole = ", ".join(f"get(g, i + {j})" for j in range(0, wide + 1, S))
+    found = f"sort_array(transform(filter(sequence(0, size(g) - {wide + 1}), i -> {closed}), i -> {_packed(f'xxhash64({whole})', 'i')}))"
+    return f"case when size({points}) >= {K} then {let(hashes, 'g', let(pairs, 'm', found))} else cast(array() as array<bigint>) end"
 
 
 def code_points(text: str) -> str:
@@ -114,7 +111,8 @@ def code_points(text: str) -> str:
 
 
 def blank(text: str) -> str:
-    return rf"(btrim({text}, ' \t\n\u000b\u000c\r') = '')"
+    # from the left alone, which ends at the first character that is no blank
+    return rf"(trim(leading ' \t\n\u000b\u000c\r' from {text}) = '')"
 
 
 def places(text: str) -> str:
@@ -128,10 +126,11 @@ def spliced(own: str, text: str, stay: str, after: str, other: str, put: str) ->
     first ``put`` of ``after``, from those of either (``own``, ``other``)."""
     joint = f"concat(right(left({text}, {stay}), {K - 1}), left(left({after}, {put}), {K - 1}))"
     across = f"transform({let(code_points(joint), 'c', _runs('c'))}, x -> x + n.stay - {K - 1})"
-    left = f"filter({own}, x -> (x & 4294967295) + {K} <= n.stay)"
-    right = f"transform(filter({other}, x -> (x & 4294967295) + {K} <= n.put), x -> x + n.stay)"
+    left = f"filter({own}, x -> (x & 4294967295) <= n.own)"
+    right = f"transform(filter({other}, x -> (x & 4294967295) <= n.other), x -> x + n.stay)"
     # bound: the lengths of whole texts are counted once and not for each anchor
-    return let(f"named_struct('stay', cast({stay} as bigint), 'put', cast({put} as bigint))", "n", f"sort_array(concat({left}, {across}, {right}))")
+    ends = f"named_struct('stay', cast({stay} as bigint), 'own', cast({stay} as bigint) - {K}, 'other', cast({put} as bigint) - {K})"
+    return let(ends, "n", f"sort_array(concat({left}, {across}, {right}))")
 
 
 def fingerprint(found: Column, compact: bool = False) -> Column:
@@ -141,25 +140,37 @@ def fingerprint(found: Column, compact: bool = False) -> Column:
     """
     if compact:
         return F.array_join(F.transform(found, lambda p: F.left(F.lpad(F.hex(p), 16, "0"), F.lit(8))), "")
-    return F.array_join(F.transform(found, lambda p: F.lpad(F.hex(p), 16, "0")), ",")
+    # all but one in sixteen have sixteen digits as they are
+    return F.array_join(F.transform(found, lambda p: F.when((p < 0) | (p >= 1 << 60), F.hex(p)).otherwise(F.lpad(F.hex(p), 16, "0"))), ",")
 
 
 def counted(found: str) -> str:
     """array<bigint>: for each anchor, in the order of their hashes, a number
     made of its hash and how many places of the hash come before."""
-    head = "i = 0 or shiftright(get(p, i), 32) <> shiftright(get(p, i - 1), 32)"
-    mark = "xxhash64(shiftright(get(p, start), 32), {})"
+    mark = "xxhash64(shiftright({}, 32), {})"
+    first = f"transform(p, (x, i) -> case when shiftright(x, 32) = shiftright(get(p, i - 1), 32) then null else {mark.format('x', 0)} end)"
     last = "coalesce(get(starts, j + 1), size(p)) - start - 1"
-    # most hashes have one place, and need no sequence
-    group = f"case when {last} = 0 then array({mark.format(0)}) else transform(sequence(0, {last}), o -> {mark.format('o')}) end"
-    each = let(f"filter(sequence(0, size(p) - 1), i -> {head})", "starts", f"flatten(transform(starts, (start, j) -> {group}))")
-    return let(found, "p", f"case when size(p) = 0 then p else {each} end")
+    # most hashes have one place, and need no sequence; nor do texts in which all have
+    group = f"case when {last} = 0 then array(get(m, start)) else transform(sequence(0, {last}), o -> {mark.format('get(p, start)', 'o')}) end"
+    each = let("filter(sequence(0, size(p) - 1), i -> get(m, i) is not null)", "starts", f"flatten(transform(starts, (start, j) -> {group}))")
+    return let(found, "p", let(first, "m", f"case when exists(m, x -> x is null) then {each} else m end"))
 
 
-def likeness(a: str, b: str) -> str:
-    """0 to 1, of two results of ``counted``: of the anchors of both, the share that matches."""
-    share = "case when size(x.a) = 0 and size(x.b) = 0 then 1D else n / (size(x.a) + size(x.b) - n) end"
-    return let(f"named_struct('a', {a}, 'b', {b})", "x", let("size(array_intersect(x.a, x.b))", "n", share))
+def both(a: str, b: str) -> str:
+    """How many anchors of two results of ``counted`` match."""
+    return f"size(array_intersect({a}, {b}))"
+
+
+def likeness(a: str, b: str, n: str | None = None) -> str:
+    """0 to 1, of two results of ``counted``: of the anchors of both, the share that matches.
+
+    ``n`` names a column of what ``both`` gives, which as a column of its own is
+    compiled; within a look at an array's elements nothing is.
+    """
+    share = "case when size({0}) = 0 and size({1}) = 0 then 1D else {2} / (size({0}) + size({1}) - {2}) end"
+    if n:
+        return share.format(a, b, n)
+    return let(f"named_struct('a', {a}, 'b', {b})", "x", let(both("x.a", "x.b"), "n", share.format("x.a", "x.b", "n")))
 
 
 def shared_places(a: Column, b: Column) -> Column:
@@ -228,12 +239,13 @@ def fingerprints(docs: DataFrame, compact: bool = False) -> DataFrame:
     splice = spliced("own", "text", f"length(text) - {half}", after, "next_own", f"least({half}, length({after}))")
     found = found.withColumn("new", F.expr(f"case when next is not null and {whole} then {splice} else {places('edited')} end"))
     found = found.withColumn("new_marks", F.expr(counted("new")))
+    found = found.withColumn("n_edited", F.expr(both("marks", "new_marks"))).withColumn("n_next", F.expr(both("marks", "next_marks")))
     return found.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own"), compact).alias("fingerprint"),
         fingerprint(F.col("new"), compact).alias("edited_fingerprint"),
-        F.expr(likeness("marks", "new_marks")).alias("near_edited"),
-        F.expr(f"case when next is null then 0D else {likeness('marks', 'next_marks')} end").alias("near_next"),
+        F.expr(likeness("marks", "new_marks", "n_edited")).alias("near_edited"),
+        F.expr(f"case when next is null then 0D else {likeness('marks', 'next_marks', 'n_next')} end").alias("near_next"),
     )

@@ -402,3 +402,29 @@ def test_syncmers_cut_texts_without_a_look_up_for_each_character(spark):
     h = 7 << 32
     marks = spark.sql(f"SELECT {syncmers.counted(f'array(1L, {h}L, {h + 5}L, {h + 9}L, {8 << 32}L)')} AS m, array(xxhash64(0L, 0), xxhash64(7L, 0), xxhash64(7L, 1), xxhash64(7L, 2), xxhash64(8L, 0)) AS want").first()
     assert marks["m"] == marks["want"]
+
+
+def test_syncmers_decide_by_pairs_and_match_compiled(spark, docs):
+    """Places of inner runs are compared by twos in one pass, anchors matched outside of look-ups in arrays."""
+    from galenic.llm import syncmers
+
+    assert syncmers._runs("c").count("<=") <= syncmers.K - syncmers.S + 1  # either edge once, and it with each two of those between
+    text = "".join(chr(97 + i * i * i % 23 + i % 3) for i in range(300))
+    got = spark.createDataFrame([(text,), ("ab" * 50,), ("z" * 16,), ("z" * 15,)], "text string").selectExpr("text", f"{syncmers.places('text')} as p").collect()
+    for r in got:
+        assert sorted((f"{x & (1 << 64) - 1:016X}" for x in r["p"]), key=lambda x: x[8:]) == brute_anchors(r["text"])
+    plan = syncmers.fingerprints(docs([text, text[:150] + text, None]))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "array_intersect" in x]
+    assert lines and not any("lambdafunction(size(array_intersect" in x or "array_intersect(lambda" in x for x in lines)
+    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], [])], "a array<bigint>, b array<bigint>").withColumn("n", F.expr(syncmers.both("a", "b")))
+    assert [tuple(r) for r in df.selectExpr(syncmers.likeness("a", "b", "n"), syncmers.likeness("a", "b")).collect()] == [(0.5, 0.5), (1, 1), (0, 0)]
+
+
+def test_syncmers_print_sixteen_digits(spark):
+    """Hashes of every first digit, the lower and the upper half of the numbers."""
+    from galenic.llm import syncmers
+
+    values = [0, 1, 15, (1 << 60) - 1, 1 << 60, (1 << 63) - 1, -(1 << 63), -1]
+    df = spark.createDataFrame([(values,)], "p array<bigint>")
+    assert df.select(syncmers.fingerprint(F.col("p")).alias("f")).first()["f"] == ",".join(f"{x & (1 << 64) - 1:016X}" for x in values)
+    assert spark.sql(f"SELECT {syncmers.counted('array(1L, 4294967301L, 8589934601L)')} = array(xxhash64(0L, 0), xxhash64(1L, 0), xxhash64(2L, 0)) AND {syncmers.counted('cast(array() as array<bigint>)')} = array() AS same").first()["same"]
